@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import mixing, mpeg_audio
+from headway.llm import ann, bpe, html_template, langid, mixing, mpeg_audio, warc
 from headway.llm.common import table
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.default_vocabulary()
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).drop("text"), *vocabulary)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,5 +58,11 @@ j AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END A
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(whole * size + greatest(0, least(size, floor(target - whole * n + 0.5) - ahead)) AS BIGINT) AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op10_mpeg_audio": op10_mpeg_audio}
-ORACLE_SQL: dict[str, str] = {"op9_mix_sources": MIX_SQL.format(documents="documents")}
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+l AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_nearest_neighbours, op3_byte_bpe, op5_html_text, op6_warc, op7_language_id, op9_mix_sources, op10_mpeg_audio)}
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents")}
