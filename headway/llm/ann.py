@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from headway.llm.common import checkpointed
 
 #: k-means learns from about SAMPLE vectors; LIST vectors a list are aimed at, with MAX_LISTS lists at most.
-SAMPLE, LIST, MAX_LISTS = 20_000, 256, 4096
-#: Lists probed for a query, vectors in a chunk of a list, dimensions in a block, and the test's strictness.
-PROBES, CHUNK, BLOCK, EPSILON = 24, 4096, 16, 2.1
+SAMPLE, LIST, MAX_LISTS = 20_000, 512, 4096
+#: Vectors in a chunk of a list, dimensions in a block, and the test's strictness.
+CHUNK, BLOCK, EPSILON = 4096, 16, 1.3
+#: So many queries are answered by brute force; a query then probes as many lists as hold RECALL of their neighbours.
+TRIALS, RECALL = 100, 0.96
+#: Lists probed first, for a limit on the k-th distance.
+FIRST = 4
 
 
 def valid(vector: Column) -> Column:
@@ -63,60 +67,119 @@ class Space:
         return np.hstack([v, np.zeros((len(v), 1))]).astype(np.float32) @ self.rotation
 
     def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
-        """The k nearest centres of each point."""
+        """The k nearest centres of each point, nearest first."""
         k = min(k, len(self.centres))
         out = np.zeros((len(x), k), np.int32)
         half = (self.centres * self.centres).sum(1) / 2
         for at in range(0, len(x), 1024):
             far = half - x[at : at + 1024] @ self.centres.T
-            out[at : at + 1024] = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(half) else np.arange(k)
+            near = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(half) else np.tile(np.arange(k), (len(far), 1))
+            out[at : at + 1024] = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), 1), 1)
         return out
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of x that may be among the k nearest to q.
+def scan(x: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) that may be among the k nearest of the query.
 
-    After d of D dimensions a candidate is abandoned if partial * D / d > limit * (1 + epsilon / sqrt(d)) ** 2, where the
-    limit is the k-th distance of those nearest by the first block.
+    limit: a squared distance of each query, within which its k nearest are known to be; infinite where nothing is known
+    yet, which the k nearest by the first block then bound. After d of D dimensions a pair is abandoned if
+    partial * D / d > limit * (1 + epsilon / sqrt(d)) ** 2. While most pairs are left a block is a matrix product over
+    all of them, later it is read for the pairs left only.
     """
-    n, size = x.shape
-    if n <= k:
-        return np.arange(n)
-    part = ((x[:, :block] - q[:block]) ** 2).sum(1)
-    first = np.argpartition(part, k - 1)[:k]
-    limit = float(((x[first] - q) ** 2).sum(1).max())
-    alive, d = np.arange(n), block
+    size, limit = x.shape[1], limit.copy()
+    part = np.zeros((len(q), len(x)), np.float32)
+    alive = np.ones(part.shape, bool)
+    d, pairs, sums = 0, None, None
     while d < size:
-        keep = part * (size / d) <= limit * (1 + epsilon / np.sqrt(d)) ** 2
-        alive, part = alive[keep], part[keep]
         to = min(size, d + block)
-        part = part + ((x[alive, d:to] - q[d:to]) ** 2).sum(1)
-        d = to
-    return alive[part <= limit * (1 + 1e-5)]
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 20, probes: int = PROBES, seed: int = 0) -> DataFrame:
+        xb, qb = x[:, d:to], q[:, d:to]
+        if pairs is None:
+            part += np.maximum(0, (qb * qb).sum(1)[:, None] + (xb * xb).sum(1) - 2 * qb @ xb.T)
+            if not d:
+                for i in np.flatnonzero(np.isinf(limit)) if len(x) > k else ():
+                    first = np.argpartition(part[i], k - 1)[:k]
+                    limit[i] = ((x[first] - q[i]) ** 2).sum(1).max()
+            d = to
+            alive &= part * (size / d) <= (limit * (1 + epsilon / np.sqrt(d)) ** 2 * (1 + 1e-5) if d < size else limit * (1 + 1e-4))[:, None]
+            if alive.mean() < 0.25:
+                pairs = np.nonzero(alive)
+                sums = part[pairs]
+        else:
+            i, j = pairs
+            sums = sums + ((xb[j] - qb[i]) ** 2).sum(1)
+            d = to
+            keep = sums * (size / d) <= limit[i] * ((1 + epsilon / np.sqrt(d)) ** 2 * (1 + 1e-5) if d < size else 1 + 1e-4)
+            pairs, sums = (i[keep], j[keep]), sums[keep]
+    return pairs if pairs is not None else np.nonzero(alive)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query, rep, score, ...) of each query."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
+def _top(query: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best."""
+    order = np.lexsort((rep, -score, query))
+    q = query[order]
+    first = np.searchsorted(q, q, side="left")
+    return order[np.arange(len(q)) - first < k]
+
+
+def _table(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> dict[str, np.ndarray]:
+    return {"query": query.astype(np.int64), "rep": rep.astype(np.int64), "score": score.astype(np.float64)}
+
+
+def probes_for(placed: DataFrame, space: Space, queries: list[tuple[int, list[float]]], k: int, recall: float = RECALL) -> int:
+    """As many lists as hold `recall` of the k nearest of the given queries, found by brute force over all of `placed`."""
+    reps, q = np.array([r for r, _ in queries]), np.array([v for _, v in queries])
+    shared = placed.sparkSession.sparkContext.broadcast((reps, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, q = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                score = q @ _matrix(batch.column("embedding")).astype(np.float64).T
+                rep, to = batch.column("rep").to_numpy(), batch.column("list").to_numpy()
+                i, j = (x.ravel() for x in np.indices(score.shape))
+                other = reps[i] != rep[j]
+                i, j = i[other], j[other]
+                top = _top(reps[i], rep[j], score[i, j], k)
+                yield pa.RecordBatch.from_pydict(_table(reps[i][top], rep[j][top], score[i, j][top]) | {"list": to[j][top].astype(np.int32)})
+
+    near = _best(placed.select("rep", "embedding", "list").mapInArrow(run, "query long, rep long, score double, list int"), k).select("query", "list").collect()
+    order = space.nearest(space.queries(q), len(space.centres))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(order), 0), 1)
+    row = {int(r): i for i, r in enumerate(reps)}
+    ranks = np.sort([int(rank[row[x.query], x.list]) for x in near])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors(vec_id, embedding) for which `queries` holds, its k nearest found by inner product, itself left out.
 
     Scores are inner products of the original vectors in double precision; ties go to the smaller vec_id. Rows with a
     null id, with vectors that `valid` refuses, or of another length than most, take no part. Of repeated rows of an id
-    one counts. Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
+    and vector one counts. Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return empty
     rows = rows.filter(F.size("embedding") == sizes[0].d)
+    vector = dict(rows.dtypes)["embedding"]
     salted = Window.partitionBy("embedding", "salt").orderBy("vec_id")
     ids = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
     index = checkpointed(ids.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
     asked = checkpointed(rows.filter(queries).distinct().join(index.select("embedding", "rep"), "embedding").select("vec_id", "rep"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = index.agg(F.count("*"), F.max(norm)).first()
-    draw = sorted((r.rep, r.embedding) for r in index.filter(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / n)).select("rep", "embedding").collect()) or [(r.rep, r.embedding) for r in index.limit(1).collect()]
-    space = Space(np.array([v for _, v in draw]), longest, max(1, min(MAX_LISTS, round(n / LIST))), seed)
+    draw = lambda df, most, salt: sorted((r.rep, r.embedding) for r in df.filter(F.pmod(F.xxhash64(F.lit(seed + salt), "rep"), F.lit(1 << 30)) < (1 << 30) * min(1.0, most / n)).select("rep", "embedding").collect()) or [(r.rep, r.embedding) for r in df.orderBy("rep").limit(1).collect()]
+    space = Space(np.array([v for _, v in draw(index, SAMPLE, 0)]), longest, max(1, min(MAX_LISTS, round(n / LIST))), seed)
     shared = spark.sparkContext.broadcast(space)
 
     def assign(n_lists: int, as_query: bool):
@@ -129,29 +192,39 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, probes: int = PROBE
 
         return run
 
-    placed = checkpointed(index.select("rep", "embedding").mapInArrow(assign(1, False), "rep long, embedding array<double>, lists array<int>").select("rep", "embedding", F.col("lists")[0].alias("list")))
+    schema = f"rep long, embedding {vector}, lists array<int>"
+    placed = checkpointed(index.select("rep", "embedding").mapInArrow(assign(1, False), schema).select("rep", "embedding", F.col("lists")[0].alias("list")))
+    probes = probes_for(placed, space, draw(index, TRIALS, 1), k)
     chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     placed = placed.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))  # one row a list: MAX_LISTS at most
-    wanted = index.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding").mapInArrow(assign(probes, True), "rep long, embedding array<double>, lists array<int>")
-    wanted = wanted.select("rep", "embedding", F.explode("lists").alias("list")).join(F.broadcast(chunks), "list").select("rep", "embedding", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    wanted = index.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding").mapInArrow(assign(probes, True), schema)
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [_table(*np.zeros((3, 0)))]
         if left.num_rows and right.num_rows:
-            v, w = _matrix(left["embedding"]), _matrix(right["embedding"])
+            v, w = _matrix(left["embedding"]).astype(np.float64), _matrix(right["embedding"]).astype(np.float64)
             x, q = shared.value.points(v), shared.value.queries(w)
-            reps = left["rep"].to_numpy()
-            for i, rep in enumerate(right["rep"].to_pylist()):
-                near = scan(x, q[i], k + 1)
-                score = v[near] @ w[i]
-                best = np.lexsort((reps[near], -score))[: k + 1]
-                for o, y in zip(out, (np.full(len(best), rep), reps[near][best], score[best])):
-                    o.append(y)
-        return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query", "rep", "score"])
-
-    found = placed.select("list", "chunk", "rep", "embedding").groupBy("list", "chunk").cogroup(wanted.groupBy("list", "chunk")).applyInArrow(probe, "query long, rep long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).join(index.select("rep", "ids"), "rep")
+            reps, asks, limit = left["rep"].to_numpy(), right["rep"].to_numpy(), right["far"].to_numpy()
+            for at in range(0, len(q), 256):
+                i, j = scan(x, q[at : at + 256], limit[at : at + 256], k + 1)
+                i = i + at
+                score = np.einsum("ij,ij->i", v[j], w[i])
+                top = _top(asks[i], reps[j], score, k + 1)
+                out.append(_table(asks[i][top], reps[j][top], score[top]))
+        return pa.table({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+    def probed(part: DataFrame) -> DataFrame:
+        """part: rep, embedding, far, lists to probe."""
+        each = part.select("rep", "embedding", "far", F.explode("lists").alias("list")).join(F.broadcast(chunks), "list")
+        each = each.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+        return placed.select("list", "chunk", "rep", "embedding").groupBy("list", "chunk").cogroup(each.groupBy("list", "chunk")).applyInArrow(probe, "query long, rep long, score double")
+
+    near = checkpointed(_best(probed(wanted.select("rep", "embedding", F.lit(float("inf")).alias("far"), F.slice("lists", 1, FIRST).alias("lists"))), k + 1))
+    # the squared distance that belongs to a score, with the query scaled to the common length
+    kth = near.groupBy(F.col("query").alias("rep")).agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+    far = F.when(F.col("n") > k, 2 * longest - 2 * F.col("kth") * F.sqrt(F.lit(longest) / norm) + 1e-5 * longest).otherwise(F.lit(float("inf")))
+    rest = wanted.join(kth, "rep").select("rep", "embedding", far.alias("far"), F.slice("lists", FIRST + 1, MAX_LISTS).alias("lists"))
+    found = _best(near.union(probed(rest)), k + 1).join(index.select("rep", "ids"), "rep")
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))))
     answer = found.groupBy("query").agg(F.slice(F.array_sort(pairs), 1, k + 1).alias("near"))
     each = asked.join(answer, F.col("rep") == F.col("query")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda p: p["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
