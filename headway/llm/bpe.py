@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from headway.llm.common import pieces
 
-#: Resolved pre-tokens that a task remembers before it starts anew: some 60 MB.
-REMEMBERED = 250_000
+#: Resolved pre-tokens in a generation; a task remembers two, some 120 MB. What is used goes on to the younger one.
+REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -83,27 +83,34 @@ class PerfectHash:
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The word's ids: of all neighbours the pair of least rank, leftmost first, is merged until none is in the vocabulary. O(n log n)."""
-    n, get = len(word), ranks.get
+    """The word's ids: of all neighbours the pair of least rank, leftmost first, is merged until none is in the vocabulary. O(n log n).
+
+    A heap entry is one integer of rank, start and end of a pair.
+    """
+    n, get, push, pop = len(word), ranks.get, heapq.heappush, heapq.heappop
+    bits = n.bit_length()
+    mask, twice = (1 << bits) - 1, 2 * bits
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heap = [r << twice | i << bits | i + 2 for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
+        entry = pop(heap)
+        i, end = entry >> bits & mask, entry & mask
         j = after[i]
         if j < 0 or j >= n or after[j] != end:  # one of the two was merged meanwhile
             continue
         after[i], after[j] = end, -1
         if (p := before[i]) >= 0 and (r := get(word[p:end])) is not None:
-            heapq.heappush(heap, (r, p, end))
+            push(heap, r << twice | p << bits | end)
         if end < n:
             before[end] = i
             if (r := get(word[i : after[end]])) is not None:
-                heapq.heappush(heap, (r, i, after[end]))
+                push(heap, r << twice | i << bits | after[end])
     out, i = [], 0
     while i < n:
-        out.append(ranks[word[i : after[i]]])
-        i = after[i]
+        j = after[i]
+        out.append(ranks[word[i:j]])
+        i = j
     return tuple(out)
 
 
@@ -149,14 +156,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: Vocabulary = shared.value
-        split, known = regex.compile(vocab.pattern).findall, {}
+        split, known, older = regex.compile(vocab.pattern).findall, {}, {}
         for batch in batches:
             for part in pieces(batch, text, 1 << 20):
                 texts = [split(x) if x else [] for x in part.column(text).to_pylist()]
-                new = list(set(chain.from_iterable(texts)).difference(known))
-                if len(known) + len(new) > REMEMBERED:
-                    known = {}
-                    new = list(set(chain.from_iterable(texts)))
+                if len(known) > REMEMBERED:
+                    known, older = {}, known
+                new = set(chain.from_iterable(texts)).difference(known)
+                known.update((w, older[w]) for w in new.intersection(older))
+                new = list(new.difference(older))
                 known.update(zip(new, vocab.resolve([w.encode() for w in new])))
                 ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, x)), np.int32) for x in texts]
                 offsets = np.zeros(len(ids) + 1, np.int32)
