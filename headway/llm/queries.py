@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import ann, bpe, html_template, langid, minhash, mixing, mpeg_audio, substring_index, warc
+from headway.llm import ann, bpe, html_template, langid, minhash, mixing, mpeg_audio, substring_index, suffix_array, warc
 from headway.llm.common import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -73,5 +78,5 @@ l AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_nearest_neighbours, op3_byte_bpe, op4_minhash_dedup, op5_html_text, op6_warc, op7_language_id, op8_repeated_passages, op9_mix_sources, op10_mpeg_audio)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array, op2_nearest_neighbours, op3_byte_bpe, op4_minhash_dedup, op5_html_text, op6_warc, op7_language_id, op8_repeated_passages, op9_mix_sources, op10_mpeg_audio)}
 ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents")}

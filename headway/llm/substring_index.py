@@ -33,7 +33,7 @@ _LOW = np.uint64(16)  # so many low bits of a hash name the bucket; the others a
 
 def packed(a: np.ndarray, rising: bool = False) -> bytes:
     """64-bit integers as compressed byte planes, of differences if they rise."""
-    a = a.view(np.uint64)
+    a = np.ascontiguousarray(a).view(np.uint64)
     if rising and len(a):
         a = np.diff(a, prepend=np.uint64(0))
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
