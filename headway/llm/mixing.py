@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, share: float, epochs: float, weights=WEIGHT
 
 
 def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int = 0, weights=WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (the source's), taken (words taken, repeats counted).
+    """One row per document: doc_id, size, source_size, target (the source's), taken (words taken, repeats counted), source.
 
     Every document of a source is taken floor(target / source_size) whole times. The rest of the target is taken from
     the source's documents in the order of their seeded keys: whole documents, and a first part of the one in which the
@@ -68,4 +68,4 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int = 0,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     part = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), part - F.col("ahead") - F.col("inside")))
-    return rows.withColumn("whole", whole).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), *keep)
+    return rows.withColumn("whole", whole).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "source", *keep)

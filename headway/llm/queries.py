@@ -50,7 +50,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     nothing. Rows of one doc_id don't remove each other's words; all lose what smaller ids have. Empty table: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
     some = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     stats = some.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], F.lit(1000))).first()
     buckets = 1 << max(4, min(16, int(np.ceil(np.log2(max(1, (stats[0] or 0) / 6 / BUCKET))))))
@@ -296,4 +296,4 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     else:
         per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list("hash").alias("hashes"), F.collect_list("second").alias("seconds"))
         joined = rows.join(stored(per_doc, "removals"), F.col("doc_id") == F.col("d"), "left")
-    return joined.select(*names, "text", "hashes", "seconds").mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
+    return joined.select(*dict.fromkeys([*names, "text", "hashes", "seconds"])).mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
