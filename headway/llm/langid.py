@@ -27,8 +27,8 @@ HIDDEN, STEPS, BATCH, TRAIN_SPAN, RATE = 16, 360, 128, 80, 0.015
 class Network:
     """Two GRUs over bytes, one from each end, and a softmax over the languages at every byte.
 
-    A gate's input weights are a table with a row per byte. Names: x table, u recurrent weights, b bias of the hidden
-    candidate's recurrent part; f forward, r reverse.
+    A gate's input weights are a table with a row per byte. Names: x tables, u recurrent weights (both of the reset gate,
+    the update gate and the candidate state), b bias of the candidate's recurrent part; f forward, r reverse.
     """
 
     def __init__(self, n_labels: int, hidden: int = HIDDEN, seed: int = 0):
@@ -36,7 +36,7 @@ class Network:
         self.hidden = h
         self.w = {}
         for d in "fr":
-            self.w |= {f"x{d}": rng.normal(0, 0.3, (256, 3 * h)), f"u{d}": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)), f"b{d}": np.zeros(h), f"o{d}": rng.normal(0, 1 / np.sqrt(h), (h, n_labels))}
+            self.w |= {f"x{d}": rng.normal(0, 0.3, (3, 256, h)), f"u{d}": rng.normal(0, 1 / np.sqrt(h), (3, h, h)), f"b{d}": np.zeros(h), f"o{d}": rng.normal(0, 1 / np.sqrt(h), (h, n_labels))}
         self.w["o"] = np.zeros(n_labels)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -49,23 +49,23 @@ class Network:
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             n = active[t]
             old = state[:n]
-            gates = x[data[t, :n]]
+            gates = np.take(x, data[t, :n], axis=1)
             rec = old @ u
-            rz = gates[:, : 2 * h]
-            rz += rec[:, : 2 * h]
+            rz = gates[:2]
+            rz += rec[:2]
             rz *= 0.5
             np.tanh(rz, out=rz)
             rz += 1
             rz *= 0.5
-            inner = rec[:, 2 * h :]
+            inner = rec[2]
             inner += b
-            new = rz[:, :h] * inner
-            new += gates[:, 2 * h :]
+            new = rz[0] * inner
+            new += gates[2]
             np.tanh(new, out=new)
             if keep is not None:
                 keep.append((t, old.copy(), rz.copy(), inner.copy(), new.copy()))
             now = old - new
-            now *= rz[:, h:]
+            now *= rz[1]
             now += new
             states[t, :n] = now
             if d == "f":
@@ -74,15 +74,20 @@ class Network:
                 state[:n] = now
         return states
 
-    def probabilities(self, data: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """(steps, rows, labels)."""
-        out = self.scan(data, active, "f") @ self.w["of"]
-        out += self.scan(data, active, "r") @ self.w["or"]
-        out += self.w["o"]
-        out -= out.max(-1, keepdims=True)
+    def _softmax(self, forward: np.ndarray, reverse: np.ndarray) -> np.ndarray:
+        """(labels, steps, rows)."""
+        flat = lambda x: x.reshape(-1, self.hidden).T
+        out = self.w["of"].T @ flat(forward)
+        out += self.w["or"].T @ flat(reverse)
+        out += self.w["o"][:, None]
+        out -= out.max(0)
         np.exp(out, out=out)
-        out /= out.sum(-1, keepdims=True)
-        return out
+        out /= out.sum(0)
+        return out.reshape(-1, *forward.shape[:2])
+
+    def probabilities(self, data: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """(labels, steps, rows)."""
+        return self._softmax(self.scan(data, active, "f"), self.scan(data, active, "r"))
 
     def gradients(self, data: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all bytes, and its gradients by backpropagation through time. Every row has all steps."""
@@ -90,31 +95,27 @@ class Network:
         active, h = np.full(steps, rows), self.hidden
         kept = {"f": [], "r": []}
         states = {d: self.scan(data, active, d, kept[d]) for d in "fr"}
-        out = states["f"] @ self.w["of"] + states["r"] @ self.w["or"] + self.w["o"]
-        out -= out.max(-1, keepdims=True)
-        p = np.exp(out)
-        p /= p.sum(-1, keepdims=True)
-        loss = -np.log(p[:, np.arange(rows), labels] + 1e-9).mean()
-        p[:, np.arange(rows), labels] -= 1
+        p = self._softmax(states["f"], states["r"])
+        loss = -np.log(p[labels, :, np.arange(rows)] + 1e-9).mean()
+        p[labels, :, np.arange(rows)] -= 1
         p /= steps * rows
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
-        g["o"] = p.sum((0, 1))
+        g["o"] = p.sum((1, 2))
+        flat = p.reshape(len(p), -1)
         for d in "fr":
-            g["o" + d] = states[d].reshape(-1, h).T @ p.reshape(-1, p.shape[-1])
-            out_grad, u = p @ self.w["o" + d].T, self.w["u" + d]
+            g["o" + d] = states[d].reshape(-1, h).T @ flat.T
+            out_grad, u = (flat.T @ self.w["o" + d].T).reshape(steps, rows, h), self.w["u" + d]
             back = np.zeros((rows, h), np.float32)
             for t, old, rz, inner, new in reversed(kept[d]):
                 back = back + out_grad[t]
-                r, z = rz[:, :h], rz[:, h:]
+                r, z = rz
                 d_new = back * (1 - z) * (1 - new * new)
-                d_z = back * (old - new) * z * (1 - z)
-                d_r = d_new * inner * r * (1 - r)
-                d_inner = d_new * r
-                side = np.concatenate([d_r, d_z, d_inner], 1)
-                np.add.at(g["x" + d], data[t], np.concatenate([d_r, d_z, d_new], 1))
-                g["b" + d] += d_inner.sum(0)
+                side = np.stack([d_new * inner * r * (1 - r), back * (old - new) * z * (1 - z), d_new * r])
+                for k, x in enumerate((side[0], side[1], d_new)):
+                    np.add.at(g["x" + d][k], data[t], x)
+                g["b" + d] += side[2].sum(0)
                 g["u" + d] += old.T @ side
-                back = back * z + side @ u.T
+                back = back * z + (side @ u.transpose(0, 2, 1)).sum(0)
         return float(loss), g
 
     def train(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, span: int = TRAIN_SPAN, rate: float = RATE, seed: int = 0) -> float:
@@ -159,7 +160,7 @@ class Network:
             active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
             p = self.probabilities(np.ascontiguousarray(data.T), active)
             mask = np.arange(sizes[0])[:, None] < sizes
-            np.add.at(out, [c[0] for c in part], np.einsum("trl,tr->rl", p, mask.astype(np.float32)))
+            np.add.at(out, [c[0] for c in part], (p * mask).sum(1).T)
         return out / np.maximum(1, np.array([len(x) for x in texts])[:, None])
 
 
@@ -171,8 +172,11 @@ def fold(doc_id: Column) -> Column:
 def sample(labelled: DataFrame, per_label: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, piece, at): SAMPLE_PIECES pieces of about per_label documents of each language, or of all where there are fewer. Which ones depends on the ids and texts alone."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("at", F.xxhash64(F.lit(1), "doc_id", F.substring("text", 1, 64)))
-    rates = rows.groupBy(F.col("lang").alias("l")).agg((F.lit(float(per_label)) / F.count("*")).alias("rate"))
-    chosen = rows.join(rates, F.col("lang") == F.col("l")).filter(F.pmod("at", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    counts = rows.groupBy("lang").count().collect()  # a row a language, as many as the model has outputs
+    rate = F.lit(0.0)
+    for r in counts:
+        rate = F.when(F.col("lang") == r.lang, min(1.0, per_label / r["count"])).otherwise(rate)
+    chosen = rows.filter(F.pmod("at", F.lit(1 << 30)) < rate * (1 << 30))
     start = lambda k: F.pmod(F.xxhash64(F.lit(2) + k, "at"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     texts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda k: F.col("text").substr(start(k), F.lit(SAMPLE_CHARS)))
     return chosen.select("lang", "at", F.posexplode(texts).alias("k", "piece"))
