@@ -5,9 +5,10 @@ differ in 15 % of the positions on average. Signatures are cut into CHUNKS chunk
 or fewer differ in at most DISTANCE // CHUNKS = 1 position of some chunk (pigeonhole), so each chunk is looked up once
 for each of its positions left out, and all such pairs share a key. Links are confirmed on the full sets.
 
-Copies (equal sets) are one vertex. Pairs of a bucket are never all emitted: first every member is paired with the
-bucket's most central member only; after those links, pairs are left only between different components of a bucket, and
-only these are made, in tiles, and tested by signature distance before their sets are read.
+Copies (equal sets) are one vertex. Pairs of a bucket are never emitted: first every member is paired with the bucket's
+most central member only. After those links, pairs are left only between different components of a bucket. For these,
+members have a home, a tile of about HOME members of their fullest bucket; a member asks each home that holds a partner
+within the signature limit, and is compared with the home's full sets at once. Only links that join components come out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ PERCENT = 85
 #: The signature and its chunks; pairs within DISTANCE share a key for certain. LIMIT: pairs beyond are not confirmed; at
 #: similarity 0.85 a pair is beyond it with a probability of 1e-8.
 POSITIONS, BITS, CHUNKS, DISTANCE, LIMIT = 64, 8, 12, 23, 28
-#: Members of a bucket that are compared with each other in one group.
-TILE = 2048
+#: Members of a bucket whose signatures are compared in one group, members of a home, and askers in one group with it.
+TILE, HOME, ASKERS = 2048, 256, 2048
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,22 +146,67 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _tile_pairs(limit: int):
+def _asked(limit: int):
     def run(group: pa.Table) -> pa.Table:
-        """Pairs across the tile's two sides (or within its one side) in different components and within the signature limit."""
-        ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
+        """For each member of the tile's first side, the homes of its partners on the second: of other components, near enough in size and signature."""
+        ids, comp, home = (group[c].to_numpy() for c in ("id", "component", "home"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
         n, tile = group["n"].to_numpy(), group["tile"].to_numpy()
-        low, high = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == group["high"][0].as_py())
-        out = [[], []]
+        one = group["low"][0].as_py() == group["high"][0].as_py()
+        low, high = np.flatnonzero(tile == group["low"][0].as_py()), np.flatnonzero(tile == group["high"][0].as_py())
+        out = {"id": [], "homes": []}
         for i in low:
             other = high[(comp[high] != comp[i]) & (100 * np.minimum(n[high], n[i]) >= PERCENT * np.maximum(n[high], n[i]))]
+            if one:
+                other = other[ids[other] > ids[i]]
             other = other[(sig[other] != sig[i]).sum(1) <= limit]
-            out[0].append(np.minimum(ids[other], ids[i]))
-            out[1].append(np.maximum(ids[other], ids[i]))
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+            if len(other):
+                out["id"].append(ids[i])
+                out["homes"].append(np.unique(home[other]))
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "homes": pa.array(out["homes"], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _flat(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' hashes in a row, and the set of each."""
+    n = [len(x) // 8 for x in sets]
+    return np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), n)
+
+
+def _joining(percent: int):
+    def run(home: pa.Table, askers: pa.Table) -> pa.Table:
+        """Links between askers and members of a home, as many as it takes to join their components."""
+        out = {"a": [], "b": []}
+        if home.num_rows and askers.num_rows:
+            ids, comp = home["id"].to_numpy(), home["component"].to_numpy()
+            values, owner = _flat(home["set"].to_pylist())
+            order = np.argsort(values, kind="stable")
+            values, owner, sizes = values[order], owner[order], np.bincount(owner, minlength=len(ids))
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
+            for at in range(0, askers.num_rows, 32):
+                part = askers.slice(at, 32)
+                v, k = _flat(part["set"].to_pylist())
+                n = np.bincount(k, minlength=part.num_rows)
+                lo, hi = np.searchsorted(values, v, side="left"), np.searchsorted(values, v, side="right")
+                runs = hi - lo
+                within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+                both = np.bincount(np.repeat(k, runs) * len(ids) + owner[np.repeat(lo, runs) + within], minlength=part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+                mine, my_comp = part["id"].to_numpy(), part["component"].to_numpy()
+                linked = (100 * both >= percent * (n[:, None] + sizes - both)) & (my_comp[:, None] != comp)
+                for i, j in zip(*np.nonzero(linked)):
+                    x, y = top(int(my_comp[i])), top(int(comp[j]))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out["a"].append(int(min(mine[i], ids[j])))
+                        out["b"].append(int(max(mine[i], ids[j])))
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
 
     return run
 
@@ -188,13 +234,24 @@ def link(docs: DataFrame) -> DataFrame:
     full = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"), True).filter("octet_length(set) > 0"), "full-sets")
     edges = checkpointed(confirmed(star, full))
     labels = components(edges)
-    held = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    part_of = F.coalesce("component", "id").alias("component")
+    held = members.join(labels, "id", "left").select("key", "id", "size", part_of)
     mixed_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).filter("low <> top").select("key")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    held = held.join(mixed_keys, "key").join(slim, "id").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiled = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    rest = tiled.groupBy("key", "low", "high").applyInArrow(_tile_pairs(LIMIT), "a long, b long").distinct()
-    labels = components(edges.union(checkpointed(confirmed(rest.join(edges, ["a", "b"], "left_anti"), full))))
+    held = stored(held.join(mixed_keys, "key"), "mixed-buckets")
+    full_bucket = held.groupBy("id").agg(F.max(F.struct("size", "key")).alias("m"), F.first("component").alias("component"))
+    homes = stored(full_bucket.select("id", "component", F.xxhash64("m.key", F.pmod(F.xxhash64("id"), F.ceil(F.col("m.size") / HOME))).alias("home")), "homes")
+    held = held.join(homes.select("id", "home"), "id").join(slim, "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    held = held.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = held.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    asks = tiled.groupBy("key", "low", "high").applyInArrow(_asked(LIMIT), "id long, homes array<long>")
+    asks = asks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes")).select("id", F.explode("homes").alias("home"))
+    asks = stored(asks.join(homes.select("id", "component"), "id"), "asks")
+    groups = asks.groupBy("home").agg(F.ceil(F.count("*") / ASKERS).alias("groups"))
+    columns = [F.col(c).alias(c) for c in ("home", "group", "id", "component", "set")]  # new columns, as both sides of the cogroup have the same sources
+    askers = asks.join(groups, "home").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups"))).join(full, "id").select(*columns)
+    hosts = homes.join(groups, "home").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(full, "id").select(*columns)
+    joins = hosts.groupBy("home", "group").cogroup(askers.groupBy("home", "group")).applyInArrow(_joining(PERCENT), "a long, b long")
+    labels = components(edges.union(checkpointed(joins)))
     named = vertices.select("hash", "id").join(labels, "id", "left").select("hash", F.coalesce("component", "id").alias("found"))
     rows = sets.select("doc_id", "n_shingles", "hash").join(named, "hash", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
