@@ -26,6 +26,8 @@ from headway.llm.words import window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 BATCHES, FANOUT = 6, 4
+#: The index is kept in so many slices of its buckets; a merge reads and shuffles one slice at a time.
+SLICES = 4
 #: Fingerprints aimed at in a bucket of the index.
 BUCKET = 500_000
 _LOW = np.uint64(16)  # so many low bits of a hash name the bucket; the others are the fingerprint
@@ -90,15 +92,16 @@ def _entries(buckets: int, size: int):
                     lead = int(head[k])
                     if lead not in known:
                         known[lead] = w.check(order[lead])
-                    same.append((h[k], doc[k], known[lead]))
+                    if w.check(order[k]) == known[lead]:
+                        same.append((h[k], doc[k]))
                 h, doc = h[new], doc[new]
                 to = (h & np.uint64(buckets - 1)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(buckets + 1))
                 rows = [(b, "new", packed(h[by[x:y]], True), packed(doc[by[x:y]]), b"") for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 if same:
-                    a, d, c = zip(*same)
-                    rows.append((int(ids[0]) % buckets, "settled", packed(np.array(a, np.uint64)), packed(np.array(d, np.int64)), packed(np.array(c, np.int64))))
+                    a, d = zip(*same)
+                    rows.append((int(ids[0]) % buckets, "settled", packed(np.array(a, np.uint64), True), packed(np.array(d, np.int64)), b""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
     return run
@@ -156,65 +159,88 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
         self.made = 0
 
-    def _write(self, df: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.path}/{self.made:06d}"
+    def _write(self, df: DataFrame, path: str) -> None:
         with shuffles_freed(self.spark):
             df.write.option("compression", "none").partitionBy("kind").parquet(path)
-        return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        rows = [self.spark.read.schema("bucket int, hashes binary, docs binary, others binary").parquet(f"{p}/kind=run") for p in paths]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionAll(r)
-        return out.select("bucket", F.lit("run").alias("kind"), "hashes", "docs", "others")
+    def _read(self, path: str, kind: str) -> DataFrame:
+        rows = self.spark.read.schema("bucket int, hashes binary, docs binary, others binary").parquet(f"{path}/kind={kind}")
+        return rows.select("bucket", F.lit(kind).alias("kind"), "hashes", "docs", "others")
 
-    def _kinds(self, path: str) -> set[str]:
+    def _folders(self, path: str) -> set[str]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return {s.getPath().getName().removeprefix("kind=") for s in fs.listStatus(folder)}
+        return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
 
     def _drop(self, path: str) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=run")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def add(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """Merge-joins a batch of docs(doc_id, text) with the runs, and adds its run. Returns its matches: `hit` (to be verified: others are witnesses) and `settled` (others are second hashes), where there are any."""
-        rows = docs.mapInArrow(_entries(self.buckets, self.window), _ENTRY)
-        if self.runs:
-            rows = rows.unionAll(self._read([p for _, p in self.runs]))
-        path = self._write(rows.groupBy("bucket").applyInArrow(_merge_join, _ENTRY))
-        kinds = self._kinds(path)
-        if "run" in kinds:
+    def _slices(self, new: DataFrame | None, runs: list[str], job) -> tuple[str, list[tuple[str, str]]]:
+        """Applies `job` to the buckets of new rows and runs, slice by slice: the new run's path, and the (path, kind) written."""
+        self.made += 1
+        path, wrote = f"{self.path}/{self.made:06d}", []
+        for k in range(SLICES):
+            parts = [self._read(f"{p}/{k}", "run") for p in runs if "kind=run" in self._folders(f"{p}/{k}")]
+            if new is not None:
+                parts.append(new.filter(F.col("bucket") % SLICES == k))
+            rows = parts[0] if parts else None
+            for p in parts[1:]:
+                rows = rows.unionAll(p)
+            if rows is None:
+                continue
+            self._write(rows.groupBy("bucket").applyInArrow(job, _ENTRY), f"{path}/{k}")
+            wrote += [(f"{path}/{k}", x.removeprefix("kind=")) for x in sorted(self._folders(f"{path}/{k}")) if x.startswith("kind=")]
+        return path, wrote
+
+    def add(self, docs: DataFrame) -> dict[str, list[DataFrame]]:
+        """Merge-joins a batch of docs(doc_id, text) with the runs, and adds its run. Returns its matches: `hit` (to be verified: others are witnesses) and `settled` (verified within a block)."""
+        batch = f"{self.path}/batch-{self.made}"
+        with shuffles_freed(self.spark):
+            docs.mapInArrow(_entries(self.buckets, self.window), _ENTRY).write.option("compression", "none").parquet(batch)
+        path, wrote = self._slices(self.spark.read.schema(_ENTRY).parquet(batch), [p for _, p in self.runs], _merge_join)
+        self._drop(batch)
+        if any(kind == "run" for _, kind in wrote):
             self.runs.append((0, path))
             self._compacted()
-        return {k: self.spark.read.schema("bucket int, hashes binary, docs binary, others binary").parquet(f"{path}/kind={k}") for k in ("hit", "settled") if k in kinds}
+        return {k: [self._read(p, kind) for p, kind in wrote if kind == k] for k in ("hit", "settled")}
 
     def _compacted(self) -> None:
         level = self.runs[-1][0]
         while sum(n == level for n, _ in self.runs) >= self.fanout:
             old = [p for n, p in self.runs if n == level]
-            path = self._write(self._read(old).groupBy("bucket").applyInArrow(_compact, _ENTRY))
+            path, _ = self._slices(None, old, _compact)
             self.runs = [r for r in self.runs if r[0] != level]
             level += 1
             self.runs.append((level, path))
             for p in old:
-                self._drop(p)
+                self._drop_runs(p)
+
+    def _drop_runs(self, path: str) -> None:
+        for k in range(SLICES):
+            self._drop(f"{path}/{k}/kind=run")
+
+    def drop(self) -> None:
+        """Deletes the runs; matches stay."""
+        for _, path in self.runs:
+            self._drop_runs(path)
+        self.runs = []
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            yield pa.RecordBatch.from_pydict({"hash": unpacked(r["hashes"], r["rising"]).view(np.int64), "doc": unpacked(r["docs"]).view(np.int64), "other": unpacked(r["others"]).view(np.int64)})
+            h = unpacked(r["hashes"], True).view(np.int64)
+            other = unpacked(r["others"]).view(np.int64) if r["others"] else None
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(unpacked(r["docs"]).view(np.int64)), pa.nulls(len(h), pa.int64()) if other is None else pa.array(other)], ["hash", "doc", "other"])
 
 
-def _matches(parts: list[DataFrame], rising: bool) -> DataFrame | None:
-    out = None
-    for p in parts:
-        rows = p.select("hashes", "docs", "others", F.lit(rising).alias("rising")).mapInArrow(_unpack, "hash long, doc long, other long")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+def _matches(parts: list[DataFrame]) -> DataFrame:
+    """(hash, doc, other) of packed rows."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("hashes", "docs", "others").mapInArrow(_unpack, "hash long, doc long, other long")
 
 
 def _witnessed(size: int):
@@ -242,14 +268,15 @@ def _kept(size: int, keep: list[str]):
                 w = Windows(part.column("text").to_pylist(), size)
                 cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
                 counts, removed, kept = [], [], []
-                for k, (hashes, seconds) in enumerate(zip(part.column("hashes"), part.column("seconds"))):
+                for k, verdicts in enumerate(part.column("verdicts")):
                     a, b = int(w.first[k]), int(w.first[k + 1])
                     gone = np.zeros(b - a + 1, np.int64)
-                    if hashes.is_valid:
-                        want = set(zip(hashes.as_py(), seconds.as_py()))
+                    if verdicts.is_valid:
+                        hashes, seconds = (verdicts.values.field(i).to_pylist() for i in range(2))
+                        want = set(zip(hashes, seconds))
                         h = w.hash[cuts[k] : cuts[k + 1]].view(np.int64)
-                        for j in np.flatnonzero(np.isin(h, hashes.values.to_numpy())).tolist():
-                            if (int(h[j]), w.check(int(cuts[k]) + j)) in want:
+                        for j in np.flatnonzero(np.isin(h, np.array(hashes, np.int64))).tolist():
+                            if (int(h[j]), None) in want or (int(h[j]), w.check(int(cuts[k]) + j)) in want:
                                 at = int(w.at[cuts[k] + j]) - a
                                 gone[at] += 1
                                 gone[at + size] -= 1
@@ -280,20 +307,20 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = some.filter((F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high))
         for k, v in index.add(part).items():
-            found[k].append(v)
+            found[k] += v
+    index.drop()  # it served this call only
     names = ["doc_id", *keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    sure = _matches(found["settled"], False)
-    sure = None if sure is None else sure.select("doc", "hash", F.col("other").alias("second"))
+    sure = _matches(found["settled"]).select("doc", "hash", F.col("other").alias("second")) if found["settled"] else None
     if found["hit"]:
-        hits = _matches(found["hit"], True).withColumnRenamed("other", "witness")
+        hits = _matches(found["hit"]).withColumnRenamed("other", "witness")
         asked = hits.select("witness", "hash").distinct().groupBy(F.col("witness").alias("doc_id")).agg(F.collect_list("hash").alias("asked"))
         seconds = stored(some.join(asked, "doc_id").mapInArrow(_witnessed(window), "hash long, witness long, second long"), "seconds")
         checked = hits.join(seconds, ["hash", "witness"]).select("doc", "hash", "second")
         sure = checked if sure is None else sure.unionAll(checked)
     if sure is None:
-        joined = rows.withColumn("hashes", F.lit(None).cast("array<bigint>")).withColumn("seconds", F.lit(None).cast("array<bigint>"))
+        joined = rows.withColumn("verdicts", F.lit(None).cast("array<struct<hash: bigint, second: bigint>>"))
     else:
-        per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list("hash").alias("hashes"), F.collect_list("second").alias("seconds"))
+        per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("hash", "second")).alias("verdicts"))
         joined = rows.join(stored(per_doc, "removals"), F.col("doc_id") == F.col("d"), "left")
-    return joined.select(*dict.fromkeys([*names, "text", "hashes", "seconds"])).mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
+    return joined.select(*dict.fromkeys([*names, "text", "verdicts"])).mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
