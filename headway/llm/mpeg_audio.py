@@ -162,8 +162,8 @@ def _vbr(frame: bytes, h: Header) -> tuple[dict[str, int], bytes] | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Reads a stream. After damage it goes on at the next header that is followed by another header, a tag or the end."""
-    out, at, lost, first = Stream(), 0, False, True
+    """Reads a stream. A header counts if it has the kind of the frame before, or is followed by another header, a tag or the end; else the search goes on byte by byte."""
+    out, at, lost, first, kind = Stream(), 0, False, True, None
     end = len(data)
     if data[max(0, end - 128) :][:3] == b"TAG" and end >= 128:
         end -= 128
@@ -175,9 +175,9 @@ def parse(data: bytes) -> Stream:
             out.tags |= tags
             continue
         h = header(data[at : at + 4])
-        if h and at + h.size <= end and (not lost or at + h.size == end or header(data[at + h.size : at + h.size + 4]) or data[at + h.size : at + h.size + 3] == b"ID3"):
+        if h and at + h.size <= end and ((not lost and kind == (h.version, h.layer, h.rate)) or at + h.size == end or header(data[at + h.size : at + h.size + 4]) or data[at + h.size : at + h.size + 3] == b"ID3"):
             frame = data[at : at + h.size]
-            lost = False
+            lost, kind = False, (h.version, h.layer, h.rate)
             if h.protected and h.layer == 3 and crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big"):
                 out.bad_crc += 1
             if first and (table := _vbr(frame, h)):

@@ -135,8 +135,8 @@ def _merge_join(group: pa.Table) -> pa.Table:
     witness, hit = doc[head], doc != doc[head]
     for old, owner in zip(*_segments(group, "run")):
         k = np.minimum(np.searchsorted(old, h), len(old) - 1)
-        found = old[k] == h
-        witness, hit = np.where(found, owner[k], witness), hit | found
+        found = (old[k] == h) & (owner[k] < doc)
+        witness, hit = np.where(found, np.minimum(owner[k], witness), witness), hit | found
     bucket = group["bucket"][0].as_py()
     rows.append((bucket, "run", packed(h[new], True), packed(doc[new]), b""))
     if hit.any():
