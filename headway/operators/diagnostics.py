@@ -153,10 +153,6 @@ def snapshot_dedup(polls: DataFrame, keys: tuple[str, ...] = ("feed",), order: t
     known = F.when(F.col("feed_ts") != 0, F.col("feed_ts"))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = known.isNull() | before.isNull() | (known != before)
-    return rows_saved(polls, fresh, w)
-
-
-def rows_saved(polls: DataFrame, fresh: Column, w) -> DataFrame:
     return polls.withColumn("_fresh", fresh).filter("_fresh").drop("_fresh")
 
 
