@@ -3,7 +3,7 @@
 Every window of WINDOW words has a fingerprint. An index holds immutable runs: rows of (bucket, sorted fingerprints,
 the least doc_id of each). A batch of documents is merge-joined with all runs bucket by bucket and becomes a run itself;
 FANOUT runs of a level are merged into one of the next. Matches name a witness document and count only after a second
-hash of the words, read from the witness's text, has been compared.
+hash of the words, to another base and read from the witness's text, has been compared.
 
 Windows are combined within some MB of text before they are shuffled, so a passage in a third of all documents gives one
 fingerprint a block. Batches are ranges of doc_id in ascending order: what the index knows lies in smaller ids.
@@ -11,8 +11,8 @@ fingerprint a block. Batches are ranges of doc_id in ascending order: what the i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.common import pieces, scratch, shuffles_freed, stored
-from headway.llm.words import window_hashes, word_hashes, word_spans
+from headway.llm.words import SECOND_BASE, mixed, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 BATCHES, FANOUT = 6, 4
@@ -48,23 +48,24 @@ def unpacked(b: bytes, rising: bool = False) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some texts: hash and text of each, in order. first: each text's first word."""
+    """The windows of some texts, in order: hash, first word (at) and text of each. first: each text's first word."""
 
-    def __init__(self, texts: list[str | None], size: int = WINDOW):
+    def __init__(self, texts: list[bytes], size: int = WINDOW):
         self.size = size
-        self.data, self.starts, self.ends, self.first = word_spans([x.encode() if x else b"" for x in texts])
+        self.data, self.starts, self.ends, self.first = word_spans(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(self.first))
         h = window_hashes(word_hashes(self.data, self.starts, self.ends), size)
-        inside = of[: len(h)] == of[size - 1 :][: len(h)]
-        self.at = np.flatnonzero(inside)  # the window's first word
-        self.hash, self.text = h[inside], of[: len(h)][inside]
+        self.inside = of[: len(h)] == of[size - 1 :][: len(h)]
+        self.at = np.flatnonzero(self.inside)
+        self.hash, self.text = h[self.inside], of[: len(h)][self.inside]
 
-    def words(self, at: int, n: int) -> list[bytes]:
-        return [self.data[a:b] for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist())]
+    def second(self) -> np.ndarray:
+        """A second hash of each window's words, independent of the first."""
+        return window_hashes(word_hashes(self.data, self.starts, self.ends, SECOND_BASE), self.size, 2)[self.inside]
 
-    def check(self, k: int) -> int:
-        """A second hash of window k, from its words."""
-        return int.from_bytes(hashlib.blake2b(b" ".join(self.words(int(self.at[k]), self.size)), digest_size=8).digest(), "big", signed=True)
+
+def _raw(column) -> list[bytes]:
+    return [x.encode() if x else b"" for x in column.to_pylist()]
 
 
 _ENTRY = "bucket int, kind string, hashes binary, docs binary, others binary"
@@ -78,7 +79,7 @@ def _entries(buckets: int, size: int):
             for part in pieces(batch, "text", 4 << 20):
                 part = part.take(pa.array(np.argsort(part.column("doc_id").to_numpy(), kind="stable")))
                 ids = part.column("doc_id").to_numpy()
-                w = Windows(part.column("text").to_pylist(), size)
+                w = Windows(_raw(part.column("text")), size)
                 if not len(w.hash):
                     continue
                 order = np.argsort(w.hash, kind="stable")
@@ -87,21 +88,16 @@ def _entries(buckets: int, size: int):
                 head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
                 inner = np.flatnonzero(doc != doc[head])
                 inner = inner[np.r_[True, (h[inner][1:] != h[inner][:-1]) | (doc[inner][1:] != doc[inner][:-1])]] if len(inner) else inner
-                same, known = [], {}
-                for k in inner.tolist():
-                    lead = int(head[k])
-                    if lead not in known:
-                        known[lead] = w.check(order[lead])
-                    if w.check(order[k]) == known[lead]:
-                        same.append((h[k], doc[k]))
+                rows = []
+                if len(inner):
+                    second = w.second()[order]
+                    inner = inner[second[inner] == second[head[inner]]]
+                    rows.append((int(ids[0]) % buckets, "settled", packed(h[inner], True), packed(doc[inner]), b""))
                 h, doc = h[new], doc[new]
                 to = (h & np.uint64(buckets - 1)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-                rows = [(b, "new", packed(h[by[x:y]], True), packed(doc[by[x:y]]), b"") for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                if same:
-                    a, d = zip(*same)
-                    rows.append((int(ids[0]) % buckets, "settled", packed(np.array(a, np.uint64), True), packed(np.array(d, np.int64)), b""))
+                rows += [(b, "new", packed(h[by[x:y]], True), packed(doc[by[x:y]]), b"") for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
     return run
@@ -248,42 +244,51 @@ def _witnessed(size: int):
         """The second hashes of the asked windows of each witness."""
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                w = Windows(part.column("text").to_pylist(), size)
+                w = Windows(_raw(part.column("text")), size)
                 cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
-                out = []
+                second, out = w.second().view(np.int64), []
                 for k, (doc, asked) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked"))):
                     h = w.hash[cuts[k] : cuts[k + 1]].view(np.int64)
                     found, at = np.unique(h, return_index=True)
                     keep = np.isin(found, asked.values.to_numpy())
-                    out += [(int(x), doc, w.check(int(cuts[k] + y))) for x, y in zip(found[keep], at[keep])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["hash", "witness", "second"])
+                    out.append((found[keep], np.full(keep.sum(), doc), second[cuts[k] + at[keep]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["hash", "witness", "second"])
 
     return run
 
 
+def _both(h: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two hashes as one."""
+    return mixed(h.view(np.uint64)) ^ second.view(np.uint64)
+
+
 def _kept(size: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                w = Windows(part.column("text").to_pylist(), size)
-                cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
+                texts, verdicts = _raw(part.column("text")), part.column("verdicts")
+                some = [k for k in range(len(texts)) if verdicts[k].is_valid]
+                w = Windows([texts[k] for k in some], size)
+                second = w.second() if some else w.hash
+                cuts = np.searchsorted(w.text, np.arange(len(some) + 1))
+                gone: dict[int, np.ndarray] = {}
+                for i, k in enumerate(some):
+                    hashes, seconds = (verdicts[k].values.field(c) for c in range(2))
+                    sure = seconds.is_null().to_numpy(zero_copy_only=False)
+                    v, s = hashes.to_numpy(), seconds.fill_null(0).to_numpy()
+                    h, own = w.hash[cuts[i] : cuts[i + 1]], second[cuts[i] : cuts[i + 1]]
+                    hit = np.isin(h.view(np.int64), v[sure]) | np.isin(_both(h, own), _both(v[~sure], s[~sure]))
+                    at = w.at[cuts[i] : cuts[i + 1]][hit] - w.first[i]
+                    edge = np.zeros(int(w.first[i + 1] - w.first[i]) + 1, np.int64)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + size, -1)
+                    gone[k] = np.cumsum(edge)[:-1] > 0
                 counts, removed, kept = [], [], []
-                for k, verdicts in enumerate(part.column("verdicts")):
-                    a, b = int(w.first[k]), int(w.first[k + 1])
-                    gone = np.zeros(b - a + 1, np.int64)
-                    if verdicts.is_valid:
-                        hashes, seconds = (verdicts.values.field(i).to_pylist() for i in range(2))
-                        want = set(zip(hashes, seconds))
-                        h = w.hash[cuts[k] : cuts[k + 1]].view(np.int64)
-                        for j in np.flatnonzero(np.isin(h, np.array(hashes, np.int64))).tolist():
-                            if (int(h[j]), None) in want or (int(h[j]), w.check(int(cuts[k]) + j)) in want:
-                                at = int(w.at[cuts[k] + j]) - a
-                                gone[at] += 1
-                                gone[at + size] -= 1
-                    gone = np.cumsum(gone)[:-1] > 0
-                    counts.append(b - a)
-                    removed.append(int(gone.sum()))
-                    kept.append(b" ".join(x for x, g in zip(w.words(a, b - a), gone.tolist()) if not g).decode("utf-8", "replace"))
+                for k, raw in enumerate(texts):
+                    words = raw.split()  # at the same characters as WORD
+                    counts.append(len(words))
+                    removed.append(int(gone[k].sum()) if k in gone else 0)
+                    kept.append(b" ".join(compress(words, (~gone[k]).tolist()) if removed[-1] else words).decode())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept_text"])
 
     return run

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A base for a second, independent hash.
+SECOND_BASE = 0xC2B2AE3D27D4EB4F
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 _SPACE = np.zeros(256, bool)
@@ -45,12 +46,12 @@ def lowered(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial in its bytes, from differences of sums over all bytes."""
     raw = np.frombuffer(data, np.uint8)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw) + 1)[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(base, len(raw) + 1)[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
