@@ -28,6 +28,8 @@ WINDOW = 13
 BATCHES, FANOUT = 6, 4
 #: The index is kept in so many slices of its buckets; a merge reads and shuffles one slice at a time.
 SLICES = 4
+#: Bytes of text whose windows are made and combined together.
+PIECE = 1 << 20
 #: Fingerprints aimed at in a bucket of the index.
 BUCKET = 500_000
 _LOW = np.uint64(16)  # so many low bits of a hash name the bucket; the others are the fingerprint
@@ -76,7 +78,7 @@ def _entries(buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by bucket of the block's windows, each with its least document; and what is settled within the block."""
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", PIECE):
                 part = part.take(pa.array(np.argsort(part.column("doc_id").to_numpy(), kind="stable")))
                 ids = part.column("doc_id").to_numpy()
                 w = Windows(_raw(part.column("text")), size)
@@ -243,7 +245,7 @@ def _witnessed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The second hashes of the asked windows of each witness."""
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", PIECE):
                 w = Windows(_raw(part.column("text")), size)
                 cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
                 second, out = w.second().view(np.int64), []
@@ -265,7 +267,7 @@ def _both(h: np.ndarray, second: np.ndarray) -> np.ndarray:
 def _kept(size: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", PIECE):
                 texts, verdicts = _raw(part.column("text")), part.column("verdicts")
                 some = [k for k in range(len(texts)) if verdicts[k].is_valid]
                 w = Windows([texts[k] for k in some], size)
