@@ -45,10 +45,10 @@ def hash64(text: str) -> int:
 
 @dataclass
 class Block:
-    """A block of text. path: of the block elements around it; main: path of the innermost article or main around it, else ''; aside: within a menu, notice or the like."""
+    """A block of text. path: of the block elements around it; mains: paths of all article and main elements around it, outermost first; aside: within a menu, notice or the like."""
 
     path: str
-    main: str
+    mains: tuple[str, ...]
     aside: bool
     text: str
 
@@ -57,12 +57,12 @@ class Block:
 class _Open:
     tag: str
     path: str
-    main: str
+    mains: tuple[str, ...]
     aside: bool
 
 
-def _is_aside(tag: str, attrs: dict[str, str], main: str) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not main or "hidden" in attrs or attrs.get("role", "").lower() in ASIDE_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+def _is_aside(tag: str, attrs: dict[str, str], within_main: bool) -> bool:
+    if tag in ASIDE_TAGS or tag == "header" and not within_main or "hidden" in attrs or attrs.get("role", "").lower() in ASIDE_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
     if tag in ("html", "body") or tag in MAIN:
         return False
@@ -73,14 +73,14 @@ def read_page(page: str) -> tuple[list[tuple[str, str]], list[Block]]:
     """The start tags as (path, parent's path), and the blocks in page order. Unclosed and misnested elements are closed as browsers do."""
     tags: list[tuple[str, str]] = []
     blocks: list[Block] = []
-    stack = [_Open("", "", "", False)]
+    stack = [_Open("", "", (), False)]
     text: list[str] = []
 
     def flush() -> None:
         if text:
             if joined := _SPACE.sub(" ", "".join(text)).strip():
                 top = next(x for x in reversed(stack) if x.tag in BLOCK or not x.tag)
-                blocks.append(Block(top.path, top.main, top.aside, joined))
+                blocks.append(Block(top.path, top.mains, top.aside, joined))
             text.clear()
 
     def close(k: int) -> None:
@@ -129,10 +129,10 @@ def read_page(page: str) -> tuple[list[tuple[str, str]], list[Block]]:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        aside = over.aside or _is_aside(tag, attrs, over.main)
+        aside = over.aside or _is_aside(tag, attrs, bool(over.mains))
         if aside != over.aside and tag not in BLOCK:  # inline: its text is left out, the block goes on
             text.append(" ")
-        stack.append(_Open(tag, path, path if tag in MAIN else over.main, aside))
+        stack.append(_Open(tag, path, (*over.mains, path) if tag in MAIN else over.mains, aside))
     flush()
     return tags, blocks
 
@@ -185,31 +185,32 @@ def templates(pages: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("main", pa.int64()), ("token", pa.int64()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("mains", pa.list_(pa.int64())), ("token", pa.int64()), ("text", pa.string())]))
     for part, read in _parsed(batches):
-        col = [[(hash64(b.main) if b.main else None, hash64(f"{b.path}\n{b.text}"), b.text) for b in blocks if not b.aside] for _, blocks in read]
-        col = [[{"main": m, "token": t, "text": x} for m, t, x in row] for row in col]
+        col = [[([hash64(m) for m in b.mains], hash64(f"{b.path}\n{b.text}"), b.text) for b in blocks if not b.aside] for _, blocks in read]
+        col = [[{"mains": m, "token": t, "text": x} for m, t, x in row] for row in col]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(col, kind)], ["page_id", "url", "host", "blocks"])
 
 
 def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, text (main text, '' if none) and n_chars, one row per row of pages(page_id, url, html).
 
-    Slots in an article or main element that belongs to the host's template are the text; without a template, those in
+    Slots anywhere within an article or main element that belongs to the host's template are the text; without a template, those in
     any article or main element; where a page has none, all slots outside menus and the like but the host's constant
     texts. Texts inside an article are never taken for constants, as copies of an article may fill a host. Null html or
     url: as empty. Repeated rows give repeated results. Other columns are ignored.
     """
     pages = hosted(pages)
     template = checkpointed(templates(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = pages.select("page_id", "url", "host", "html").mapInArrow(_blocks, "page_id long, url string, host string, blocks array<struct<main: long, token: long, text: string>>")
+    blocks = pages.select("page_id", "url", "host", "html").mapInArrow(_blocks, "page_id long, url string, host string, blocks array<struct<mains: array<long>, token: long, text: string>>")
     blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     rows = blocks.join(template, ["host", "salt"], "left")
-    known = F.coalesce(F.exists("blocks", lambda b: F.array_contains(F.col("main"), b["main"])), F.lit(False))
-    some = F.exists("blocks", lambda b: b["main"].isNotNull())
+    within = lambda b: F.coalesce(F.arrays_overlap(F.col("main"), b["mains"]), F.lit(False))
+    known = F.exists("blocks", within)
+    some = F.exists("blocks", lambda b: F.size(b["mains"]) > 0)
     kept = (
-        F.when(known, F.filter("blocks", lambda b: F.coalesce(F.array_contains(F.col("main"), b["main"]), F.lit(False))))
-        .when(some, F.filter("blocks", lambda b: b["main"].isNotNull()))
+        F.when(known, F.filter("blocks", within))
+        .when(some, F.filter("blocks", lambda b: F.size(b["mains"]) > 0))
         .otherwise(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(F.col("constant"), b["token"]), F.lit(False))))
     )
     text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))

@@ -150,6 +150,12 @@ def test_template_of_pages_without_articles(spark):
     assert len(t.constant) == 2 and t.main == []
 
 
+def test_article_of_its_own_within_a_stable_main(spark):
+    html = "<body><nav>menu</nav><main>Day {0}<article id=post-{0} class=post><h1>Story {0}</h1><p>Body {0}</article></main><footer>f</footer>"
+    df = spark.createDataFrame([(k, "http://h/x", html.format(k)) for k in range(8)], "page_id long, url string, html string")
+    assert {r.text for r in html_template.extract(df).collect()} == {f"Day {k}\nStory {k}\nBody {k}" for k in range(8)}
+
+
 # Languages
 
 
