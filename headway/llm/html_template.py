@@ -3,7 +3,8 @@
 Per host, tokens (start tags with their path, texts at a path) that share their occurrence vector over the host's pages
 form an equivalence class. Classes that occur on many of the pages and nest within one parent class make the host's
 template. What the template leaves open are slots: the text is taken from the slots within the template's article,
-else from all slots that aren't menus, notices and the like. Counts are combined before the shuffle and pages are dealt
+else from all slots. Only what HTML itself declares to be no main text (nav, aside, hidden ...) is left out besides; a list
+of class and id words is asked where there is no template or the template can't tell. Counts are combined before the shuffle and pages are dealt
 by (host, salt), so a host with a third of all pages is spread.
 """
 
@@ -29,8 +30,11 @@ CLOSES_P = BLOCK - frozenset("body dd dt head html li optgroup option tbody td t
 #: A start tag closes an open element of the same group within its container.
 GROUPS = {**dict.fromkeys(("li",), (("li",), ("ul", "ol", "menu"))), **dict.fromkeys(("dd", "dt"), (("dd", "dt"), ("dl",))), **dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 MAIN = frozenset(("article", "main"))
-ASIDE_TAGS = frozenset("nav aside footer form button select head title dialog menu svg canvas object audio video map search".split())
+ASIDE_TAGS = frozenset("nav aside footer button select head title dialog menu svg canvas object audio video map search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert note menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A header of one of these is part of the text.
+HEADED = frozenset("article entry post story".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup comment comments reply replies respond disqus share sharing social related recommended widget login search skip pagination pager toolbar copyright disclaimer".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
@@ -45,12 +49,13 @@ def hash64(text: str) -> int:
 
 @dataclass
 class Block:
-    """A block of text. path: of the block elements around it; mains: paths of all article and main elements around it, outermost first; aside: within a menu, notice or the like."""
+    """A block of text. path: of the block elements around it; mains: paths of all article and main elements around it, outermost first; aside: declared to be a menu, hidden or the like; bare: the text without what the word list names."""
 
     path: str
     mains: tuple[str, ...]
     aside: bool
     text: str
+    bare: str
 
 
 @dataclass
@@ -59,28 +64,42 @@ class _Open:
     path: str
     mains: tuple[str, ...]
     aside: bool
+    listed: bool
 
 
 def _is_aside(tag: str, attrs: dict[str, str], within_main: bool) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not within_main or "hidden" in attrs or attrs.get("role", "").lower() in ASIDE_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+    """Declared by the element itself."""
+    return tag in ASIDE_TAGS or tag == "header" and not within_main or "hidden" in attrs or attrs.get("role", "").lower() in ASIDE_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
+
+
+def _is_listed(tag: str, attrs: dict[str, str], within_main: bool) -> bool:
+    """A form, or named by the word list; a heading never is, nor an article's header."""
+    if tag == "form":
         return True
-    if tag in ("html", "body") or tag in MAIN:
+    if tag in ("html", "body") or tag in MAIN or tag in HEADINGS:
         return False
-    return any(w.lower() in ASIDE_WORDS for name in ("class", "id") if name in attrs for w in _WORDS.findall(attrs[name]))
+    words = {w.lower() for name in ("class", "id") if name in attrs for w in _WORDS.findall(attrs[name])}
+    if within_main or words & HEADED:
+        words.discard("header")
+    return bool(words & ASIDE_WORDS)
 
 
 def read_page(page: str) -> tuple[list[tuple[str, str]], list[Block]]:
     """The start tags as (path, parent's path), and the blocks in page order. Unclosed and misnested elements are closed as browsers do."""
     tags: list[tuple[str, str]] = []
     blocks: list[Block] = []
-    stack = [_Open("", "", (), False)]
-    text: list[str] = []
+    stack = [_Open("", "", (), False, False)]
+    text: list[tuple[str, bool, bool]] = []  # with whether it counts for the text and for the bare text
+
+    def top() -> _Open:
+        return next(x for x in reversed(stack) if x.tag in BLOCK or not x.tag)
 
     def flush() -> None:
         if text:
-            if joined := _SPACE.sub(" ", "".join(text)).strip():
-                top = next(x for x in reversed(stack) if x.tag in BLOCK or not x.tag)
-                blocks.append(Block(top.path, top.mains, top.aside, joined))
+            if joined := _SPACE.sub(" ", "".join(t for t, full, _ in text if full)).strip():
+                over = top()
+                bare = "" if over.listed else joined if all(full and bare for _, full, bare in text) else _SPACE.sub(" ", "".join(t for t, _, bare in text if bare)).strip()
+                blocks.append(Block(over.path, over.mains, over.aside, joined, bare))
             text.clear()
 
     def close(k: int) -> None:
@@ -100,18 +119,18 @@ def read_page(page: str) -> tuple[list[tuple[str, str]], list[Block]]:
     while m := _TOKEN.match(page, at):
         at, tag = m.end(), m[2]
         if tag is None:
-            if m[0][:2] not in ("<!", "<?") and not stack[-1].aside:
-                text.append(entities.unescape(m[0]))
+            if m[0][:2] not in ("<!", "<?") and (not stack[-1].aside or top().aside):
+                text.append((entities.unescape(m[0]), True, not stack[-1].listed))
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                text.append(" ")
+                text.append((" ", True, True))
             elif k := within((tag,), ("article", "main", "td", "th") if tag == "p" else ()):
                 close(k)
             continue
         if tag == "br":
-            text.append(" ")
+            text.append((" ", True, True))
             continue
         attrs = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3] and not m[3].isspace() else {}
         if tag in CLOSES_P and (k := within(("p",), ("article", "main", "aside", "section", "td", "th", "button", "object"))):
@@ -130,9 +149,10 @@ def read_page(page: str) -> tuple[list[tuple[str, str]], list[Block]]:
             at = end.end() if end else len(page)
             continue
         aside = over.aside or _is_aside(tag, attrs, bool(over.mains))
-        if aside != over.aside and tag not in BLOCK:  # inline: its text is left out, the block goes on
-            text.append(" ")
-        stack.append(_Open(tag, path, (*over.mains, path) if tag in MAIN else over.mains, aside))
+        listed = over.listed or _is_listed(tag, attrs, bool(over.mains))
+        if (aside != over.aside or listed != over.listed) and tag not in BLOCK:  # inline: its text is left out, the block goes on
+            text.append((" ", aside != over.aside, True))
+        stack.append(_Open(tag, path, (*over.mains, path) if tag in MAIN else over.mains, aside, listed))
     flush()
     return tags, blocks
 
@@ -166,10 +186,11 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
-    """(host, main, constant): hashes of the template's article paths and of its constant texts, one row per host that has a template.
+    """(host, main, constant): hashes of the template's article paths and of its constant texts, wherever they are, one row per host that has a template.
 
     `pages` comes from `hosted`. A class counts if it has two tokens or more, occurs on `least` pages and on `share` of
-    the host's pages, and all its tokens that lie outside of it lie in one parent class.
+    the host's pages, and all its tags whose parent is outside of it lie in one parent class. A constant text may lie in a tag of any class, such
+    as one of many p.
     """
     tokens = pages.select("host", "page", "html").mapInArrow(_tokens, "host string, page long, token long, parent long, kind string, n int")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
@@ -177,7 +198,7 @@ def templates(pages: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame
     hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
     frequent = stats.join(hosts, "host").filter((F.col("pages") >= least) & (F.col("pages") >= share * F.col("of")))
     above = frequent.select("host", F.col("token").alias("parent"), F.col("vector").alias("over"))
-    outside = F.when(F.col("over") != F.col("vector"), F.col("over"))
+    outside = F.when((F.col("over") != F.col("vector")) & (F.col("kind") != "text"), F.col("over"))
     classes = frequent.join(above, ["host", "parent"], "left").groupBy("host", "vector").agg(F.count("*").alias("size"), F.min(outside).alias("low"), F.max(outside).alias("high"))
     valid = classes.filter((F.col("size") >= 2) & F.col("low").eqNullSafe(F.col("high"))).select("host", "vector")
     inside = frequent.join(valid, ["host", "vector"], "left_semi")
@@ -185,33 +206,37 @@ def templates(pages: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("mains", pa.list_(pa.int64())), ("token", pa.int64()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("mains", pa.list_(pa.int64())), ("token", pa.int64()), ("text", pa.string()), ("bare", pa.string())]))
     for part, read in _parsed(batches):
-        col = [[([hash64(m) for m in b.mains], hash64(f"{b.path}\n{b.text}"), b.text) for b in blocks if not b.aside] for _, blocks in read]
-        col = [[{"mains": m, "token": t, "text": x} for m, t, x in row] for row in col]
+        col = [[([hash64(m) for m in b.mains], hash64(f"{b.path}\n{b.text}"), b.text, None if b.bare == b.text else b.bare) for b in blocks if not b.aside] for _, blocks in read]
+        col = [[{"mains": m, "token": t, "text": x, "bare": y} for m, t, x, y in row] for row in col]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(col, kind)], ["page_id", "url", "host", "blocks"])
 
 
 def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, text (main text, '' if none) and n_chars, one row per row of pages(page_id, url, html).
 
-    Slots anywhere within an article or main element that belongs to the host's template are the text; without a template, those in
-    any article or main element; where a page has none, all slots outside menus and the like but the host's constant
-    texts. Texts inside an article are never taken for constants, as copies of an article may fill a host. Null html or
-    url: as empty. Repeated rows give repeated results. Other columns are ignored.
+    Slots anywhere within an article or main element that belongs to the host's template are the text; else those in any
+    article or main element; where a page has none, all slots. The host's constant texts are no slots. Within an article,
+    they count as such only if more of the page's texts there differ, as copies of an article may fill a host. There, and
+    on hosts without a template, the text is all but what the word list names. Null html or url: as empty. Repeated rows
+    give repeated results. Other columns are ignored.
     """
     pages = hosted(pages)
     template = checkpointed(templates(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = pages.select("page_id", "url", "host", "html").mapInArrow(_blocks, "page_id long, url string, host string, blocks array<struct<mains: array<long>, token: long, text: string>>")
+    blocks = pages.select("page_id", "url", "host", "html").mapInArrow(_blocks, "page_id long, url string, host string, blocks array<struct<mains: array<long>, token: long, text: string, bare: string>>")
     blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     rows = blocks.join(template, ["host", "salt"], "left")
+    has = F.col("constant").isNotNull()
+    bare = lambda b: F.coalesce(b["bare"], b["text"])
     within = lambda b: F.coalesce(F.arrays_overlap(F.col("main"), b["mains"]), F.lit(False))
-    known = F.exists("blocks", within)
-    some = F.exists("blocks", lambda b: F.size(b["mains"]) > 0)
-    kept = (
-        F.when(known, F.filter("blocks", within))
-        .when(some, F.filter("blocks", lambda b: F.size(b["mains"]) > 0))
-        .otherwise(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(F.col("constant"), b["token"]), F.lit(False))))
-    )
-    text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))
+    inner = lambda b: F.size(b["mains"]) > 0
+    slot = lambda b: ~F.array_contains(F.col("constant"), b["token"])
+    rows = rows.withColumn("blocks", F.when(has, F.col("blocks")).otherwise(F.filter("blocks", lambda b: bare(b) != "")))
+    rows = rows.withColumn("some", F.exists("blocks", inner))
+    rows = rows.withColumn("blocks", F.when(F.exists("blocks", within), F.filter("blocks", within)).when(F.col("some"), F.filter("blocks", inner)).otherwise(F.col("blocks")))
+    rows = rows.withColumn("slots", F.when(has, F.filter("blocks", slot)))
+    told = has & (~F.col("some") | (2 * F.size("slots") > F.size("blocks")))
+    kept = F.when(told, F.transform("slots", lambda b: b["text"])).otherwise(F.filter(F.transform("blocks", bare), lambda t: t != ""))
+    text = F.concat_ws("\n", kept)
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

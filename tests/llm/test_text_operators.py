@@ -156,6 +156,23 @@ def test_article_of_its_own_within_a_stable_main(spark):
     assert {r.text for r in html_template.extract(df).collect()} == {f"Day {k}\nStory {k}\nBody {k}" for k in range(8)}
 
 
+def test_constants_within_articles_go_and_words_only_guess(spark):
+    body = "<article><div class=article-header><h1>Story {0}</h1></div><p>One {0}<p>Sign up now<h2 id=search>Search {0}</h2><div class=related>Also {0}</div><p>Two {0} <i class=share>and</i> more</article>"
+    pages = [(k, "http://h/x", "<body><div class=banner>Top</div>" + body.format(k) + f"<p>{k}" * (k % 3)) for k in range(8)]
+    pages += [(9, "http://alone/x", "<body><div class=banner>Top</div>" + body.format(9))]
+    pages += [(10 + k, "http://copies/x", f"<body><p>menu<article><h1>Same</h1><p>Copy<p>of it<div class=share>Tell</div></article><p>{k // 4}") for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(df).collect()}
+    assert {k: got[k] for k in range(8)} == {k: f"Story {k}\nOne {k}\nSearch {k}\nAlso {k}\nTwo {k} and more" for k in range(8)}
+    assert got[9] == "Story 9\nOne 9\nSign up now\nSearch 9\nTwo 9 more"
+    assert {got[10 + k] for k in range(5)} == {"Same\nCopy\nof it"}
+
+
+def test_every_block_is_a_token():
+    page = "<title>T</title><nav>menu</nav><p>a <b hidden>x</b> b<div class=ad>buy</div><form>all <p>in a form</form>"
+    assert [(b.text, b.bare, b.aside) for b in html_template.read_page(page)[1]] == [("T", "T", True), ("menu", "menu", True), ("a b", "a b", False), ("buy", "", False), ("all", "", False), ("in a form", "", False)]
+
+
 # Languages
 
 
