@@ -72,7 +72,32 @@ def synthetic_params(spark, d):
 
 
 def _itineraries(spark, d) -> DataFrame:
-    """An itinerary of two legs for each route, its times from the counts and sums of all its line items."""
+    """An itinerary for each trip of two stops or more, from its first stop to its last.
+
+    If the next such trip of its block leaves after that and arrives within three hours, that is its second leg. Alternatives
+    are the next departures of the route that get there, by time of day as the stop times have no day.
+    """
+    st, t = v.stop_times(spark, d), v.trips(spark, d).select("trip_id", "route_id", "block_id")
+    ends = st.groupBy("trip_id").agg(F.min(F.struct("seq", "stop_id", "departure")).alias("a"), F.max(F.struct("seq", "stop_id", "arrival")).alias("b"))
+    rides = ends.filter("a.seq < b.seq").join(t, "trip_id")
+    asked = rides.select(F.col("trip_id").alias("leg_id"), "route_id", F.col("a.stop_id").alias("board_stop"), F.col("b.stop_id").alias("alight_stop"), F.col("a.departure").alias("departure"))
+    later = net.recoveries(st, t, asked).groupBy(F.col("leg_id").alias("trip_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "departure", "arrival"))).alias("later"))
+    own = F.array(F.struct(F.col("a.departure").alias("departure"), F.col("b.arrival").alias("arrival")))
+    rest = F.coalesce(F.transform("later", lambda x: F.struct(x["departure"].alias("departure"), x["arrival"].alias("arrival"))), F.array().cast("array<struct<departure: bigint, arrival: bigint>>"))
+    rides = rides.join(later, "trip_id", "left").withColumn("ride", F.struct(F.col("route_id").cast("string").alias("route_id"), F.col("a.seq").alias("board_seq"), F.col("b.seq").alias("alight_seq"), F.concat(own, rest).alias("alternatives")))
+    w = Window.partitionBy("block_id").orderBy("a.departure", "trip_id")
+    rides = rides.withColumns({"next": F.lead("ride").over(w), "end": F.lead("b").over(w)})
+    leg = lambda ride, change: F.struct(F.lit(change).cast("int").alias("min_transfer_s"), *(F.col(ride)[c].alias(c) for c in ("route_id", "board_seq", "alight_seq", "alternatives")))
+    both = F.coalesce((F.col("next.alternatives")[0]["departure"] >= F.col("b.arrival") + 60) & (F.col("end.arrival") <= F.col("a.departure") + 10800), F.lit(False))
+    legs = F.when(both, F.array(leg("ride", 0), leg("next", 60))).otherwise(F.array(leg("ride", 0)))
+    last = F.when(both, F.col("end")).otherwise(F.col("b"))
+    rows = rides.select(F.col("trip_id").cast("string").alias("itinerary_id"), (F.col("a.departure") - 120).alias("departure"), (last["stop_id"] % 180).cast("long").alias("tail_walk_s"), legs.alias("legs"), last["arrival"].alias("scheduled"))
+    # Rows are dear to evaluate, so they are dealt anew; the model's tables are by route.
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "itinerary_id").sortWithinPartitions(F.col("legs")[0]["route_id"], "itinerary_id")
+
+
+def _route_itineraries(spark, d) -> DataFrame:
+    """What scheduled_margins' SQL has: an itinerary of two legs for each route, its times from the counts and sums of all its line items."""
     li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip_id"), "l_quantity", "l_partkey")
     r = li.join(v.trips(spark, d).select("trip_id", "route_id"), "trip_id").groupBy("route_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.sum("l_partkey").alias("p"))
     def leg(base, ride, board, alight, change):
@@ -94,13 +119,13 @@ _ITINERARY_SQL = """, r AS (SELECT route_id, count(*) AS n, CAST(sum(l_quantity)
 
 @query(_ITINERARY_SQL + " SELECT CAST(route_id AS VARCHAR) AS itinerary_id, CAST(60 + p % 480 AS BIGINT) AS margin FROM r", "trips")
 def scheduled_margins(spark, d):
-    return _itineraries(spark, d).select("itinerary_id", F.explode(rel.scheduled_margins(F.col("legs"))).alias("margin"))
+    return _route_itineraries(spark, d).select("itinerary_id", F.explode(rel.scheduled_margins(F.col("legs"))).alias("margin"))
 
 
 @query()
 def lognormal_cdf(spark, d):
-    """The synthetic model's probabilities at a few delays for each stop's mean parameters."""
-    params = synthetic_params(spark, d).groupBy("seq").agg(F.avg("mu").alias("mu"), F.avg("sigma").alias("sigma"))
+    """The synthetic model's probabilities at a few delays for each stop time's parameters."""
+    params = synthetic_params(spark, d)
 
     def run(batches):
         for pdf in batches:
@@ -108,7 +133,7 @@ def lognormal_cdf(spark, d):
                 pdf[f"cdf_{x}"] = dis.lognormal_cdf(float(x), pdf["mu"].to_numpy(), pdf["sigma"].to_numpy(), -90.0).round(6)
             yield pdf
 
-    return params.mapInPandas(run, "seq int, mu double, sigma double, cdf_0 double, cdf_60 double, cdf_300 double, cdf_900 double")
+    return params.mapInPandas(run, "trip_id long, seq int, mu double, sigma double, cdf_0 double, cdf_60 double, cdf_300 double, cdf_900 double")
 
 
 @query()
@@ -136,9 +161,10 @@ def probability_method_errors(spark, d):
 
 @query()
 def robust_choice(spark, d):
-    """Of the routes that share a remainder of their number by eight, the itinerary most likely to arrive in its time and ten minutes."""
+    """Of each block's itineraries, the one most likely to arrive in its time and ten minutes."""
     p = arrival_probability_convolution(spark, d).withColumn("late", F.row_number().over(Window.partitionBy("itinerary_id").orderBy("deadline"))).filter("late = 3")
-    c = p.select((F.col("itinerary_id").cast("int") % 8).alias("query_id"), F.col("itinerary_id").cast("int").alias("pos"), F.round("probability", 6).alias("probability"))
+    p = p.withColumn("trip_id", F.col("itinerary_id").cast("long")).join(v.trips(spark, d).select("trip_id", "block_id"), "trip_id")
+    c = p.select(F.col("block_id").alias("query_id"), F.col("trip_id").alias("pos"), F.round("probability", 6).alias("probability"))
     return rel.robust(c)
 
 
