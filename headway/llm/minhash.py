@@ -6,13 +6,15 @@ or fewer differ in at most DISTANCE // CHUNKS = 1 position of some chunk (pigeon
 for each of its positions left out, and all such pairs share a key. Links are confirmed on the full sets.
 
 Copies (equal sets) are one vertex. Pairs of a bucket are never emitted: first every member is paired with the bucket's
-most central member only. After those links, pairs are left only between different components of a bucket. For these,
-members have a home, a tile of about HOME members of their fullest bucket; a member asks each home that holds a partner
-within the signature limit, and is compared with the home's full sets at once. Only links that join components come out.
+most central member only. After those links, pairs are left only between different components of a bucket, so members
+outside of its largest component are compared with all, and the largest not with itself. For these pairs, members have a
+home, a tile of about HOME members of their fullest bucket; a member asks each home that holds a partner within the
+signature limit, and is compared with the home's full sets at once. Only links that join components come out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,21 @@ from headway.llm.words import lowered, mixed, window_hashes, word_hashes, word_s
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: The signature and its chunks; pairs within DISTANCE share a key for certain. LIMIT: pairs beyond are not confirmed; at
-#: similarity 0.85 a pair is beyond it with a probability of 1e-8.
-POSITIONS, BITS, CHUNKS, DISTANCE, LIMIT = 64, 8, 12, 23, 28
+#: The signature and its chunks; pairs within DISTANCE share a key for certain. At similarity 0.85 a pair differs in more
+#: positions with a probability of 9e-6, and even then most share a key.
+POSITIONS, BITS, CHUNKS, DISTANCE = 64, 8, 12, 23
 #: Members of a bucket whose signatures are compared in one group, members of a home, and askers in one group with it.
-TILE, HOME, ASKERS = 2048, 256, 2048
+TILE, HOME, ASKERS = 2048, 256, 512
+
+
+def limit_for(percent: int, loss: float = 1e-8) -> int:
+    """The signature distance that a pair of similarity percent / 100 exceeds with a probability of `loss` at most."""
+    p, tail = 1 - percent / 100, 0.0
+    for k in range(POSITIONS, -1, -1):
+        tail += math.comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k)
+        if tail > loss:
+            return k
+    return 0
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -146,23 +158,24 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _asked(limit: int):
+def _asked(limit: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """For each member of the tile's first side, the homes of its partners on the second: of other components, near enough in size and signature."""
-        ids, comp, home = (group[c].to_numpy() for c in ("id", "component", "home"))
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        n, tile = group["n"].to_numpy(), group["tile"].to_numpy()
-        one = group["low"][0].as_py() == group["high"][0].as_py()
-        low, high = np.flatnonzero(tile == group["low"][0].as_py()), np.flatnonzero(tile == group["high"][0].as_py())
+        """For each asker of the tile, the homes of its partners among the hosts: of other components, near enough in size and signature."""
+        ids, comp, home, n, asks, bulk = (group[c].to_numpy() for c in ("id", "component", "home", "n", "asks", "bulk"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint64).reshape(len(ids), -1).view(np.uint8)
+        hosts = np.flatnonzero(~asks)
+        hosts = hosts[np.argsort(n[hosts], kind="stable")]
+        size, theirs = n[hosts], sig[hosts]
         out = {"id": [], "homes": []}
-        for i in low:
-            other = high[(comp[high] != comp[i]) & (100 * np.minimum(n[high], n[i]) >= PERCENT * np.maximum(n[high], n[i]))]
-            if one:
-                other = other[ids[other] > ids[i]]
-            other = other[(sig[other] != sig[i]).sum(1) <= limit]
-            if len(other):
+        for i in np.flatnonzero(asks):
+            a, b = np.searchsorted(size, [-(-n[i] * percent // 100), n[i] * 100 // percent + 1])
+            other = hosts[a:b]
+            # two askers meet twice: the smaller id asks
+            fits = (comp[other] != comp[i]) & (bulk[other] | (ids[other] > ids[i]))
+            fits &= (theirs[a:b] != sig[i]).sum(1) <= limit
+            if fits.any():
                 out["id"].append(ids[i])
-                out["homes"].append(np.unique(home[other]))
+                out["homes"].append(np.unique(home[other[fits]]))
         return pa.table({"id": pa.array(out["id"], pa.int64()), "homes": pa.array(out["homes"], pa.list_(pa.int64()))})
 
     return run
@@ -211,9 +224,12 @@ def _joining(percent: int):
     return run
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT, limit: int | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (least doc_id of those linked with it, directly or over others), kept (it is that document).
 
+    Documents are linked if 100 * intersection >= percent * union. Of the pairs that share a key, those beyond `limit`
+    positions aren't confirmed on their sets: by default `limit_for(percent)`, 1e-8 of the links; POSITIONS confirms all.
+
     Null and empty texts, and texts without words, have 0 shingles and are linked with nothing. Rows of the same doc_id
     count as one document. Rows without doc_id keep a null component and aren't kept, unless their text equals that of
     another. Empty table: no rows. Other columns are ignored.
@@ -229,28 +245,35 @@ def link(docs: DataFrame) -> DataFrame:
     slim = vertices.select("id", "n", "sig")
     star = members.join(leaders, "key").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     star = star.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    star = star.filter(F.least("na", "nb") * 100 >= PERCENT * F.greatest("na", "nb")).select("a", "b")
+    star = star.filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).select("a", "b")
     needed = central.select(F.col("id").alias("doc_id"))
     full = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"), True).filter("octet_length(set) > 0"), "full-sets")
-    edges = checkpointed(confirmed(star, full))
+    edges = checkpointed(confirmed(star, full, percent))
     labels = components(edges)
     part_of = F.coalesce("component", "id").alias("component")
     held = members.join(labels, "id", "left").select("key", "id", "size", part_of)
-    mixed_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).filter("low <> top").select("key")
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("members"))
+    mixed_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("m")).filter("parts > 1").select("key", F.col("m.component").alias("largest"), F.col("m.members").alias("bulk_size"))
     held = stored(held.join(mixed_keys, "key"), "mixed-buckets")
     full_bucket = held.groupBy("id").agg(F.max(F.struct("size", "key")).alias("m"), F.first("component").alias("component"))
     homes = stored(full_bucket.select("id", "component", F.xxhash64("m.key", F.pmod(F.xxhash64("id"), F.ceil(F.col("m.size") / HOME))).alias("home")), "homes")
-    held = held.join(homes.select("id", "home"), "id").join(slim, "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    held = held.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = held.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    asks = tiled.groupBy("key", "low", "high").applyInArrow(_asked(LIMIT), "id long, homes array<long>")
+    held = held.join(homes.select("id", "home"), "id").join(slim, "id").withColumn("bulk", F.col("component") == F.col("largest"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    held = held.withColumn("rows", tiles(F.col("size") - F.col("bulk_size"))).withColumn("columns", tiles(F.col("size")))
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    columns = ["key", "id", "component", "home", "n", "sig", "bulk"]
+    askers = held.filter("not bulk").select(*columns, F.lit(True).alias("asks"), place(F.col("rows")).alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    hosts = held.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place(F.col("columns")).alias("column"))
+    # dealt by count, not by bytes: these rows are few, and each costs much time
+    tiled = askers.unionAll(hosts).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "row", "column")
+    asks = tiled.groupBy("key", "row", "column").applyInArrow(_asked(limit_for(percent) if limit is None else limit, percent), "id long, homes array<long>")
     asks = asks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes")).select("id", F.explode("homes").alias("home"))
     asks = stored(asks.join(homes.select("id", "component"), "id"), "asks")
     groups = asks.groupBy("home").agg(F.ceil(F.count("*") / ASKERS).alias("groups"))
     columns = [F.col(c).alias(c) for c in ("home", "group", "id", "component", "set")]  # new columns, as both sides of the cogroup have the same sources
     askers = asks.join(groups, "home").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups"))).join(full, "id").select(*columns)
     hosts = homes.join(groups, "home").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(full, "id").select(*columns)
-    joins = hosts.groupBy("home", "group").cogroup(askers.groupBy("home", "group")).applyInArrow(_joining(PERCENT), "a long, b long")
+    joins = hosts.groupBy("home", "group").cogroup(askers.groupBy("home", "group")).applyInArrow(_joining(percent), "a long, b long")
     labels = components(edges.union(checkpointed(joins)))
     named = vertices.select("hash", "id").join(labels, "id", "left").select("hash", F.coalesce("component", "id").alias("found"))
     rows = sets.select("doc_id", "n_shingles", "hash").join(named, "hash", "left").withColumn("component_id", F.coalesce("found", "doc_id"))

@@ -2,8 +2,9 @@
 
 Every window of WINDOW words has a fingerprint. An index holds immutable runs: rows of (bucket, sorted fingerprints,
 the least doc_id of each). A batch of documents is merge-joined with all runs bucket by bucket and becomes a run itself;
-FANOUT runs of a level are merged into one of the next. Matches name a witness document and count only after a second
-hash of the words, to another base and read from the witness's text, has been compared.
+FANOUT runs of a level are merged into one of the next. Matches name a witness document and count only after the BLAKE2
+digests of both windows' words, the witness's read from its text, have been compared. The index stays where it is: a
+manifest names its runs, so a later session opens it and adds the next batch.
 
 Windows are combined within some MB of text before they are shuffled, so a passage in a third of all documents gives one
 fingerprint a block. Batches are ranges of doc_id in ascending order: what the index knows lies in smaller ids.
@@ -11,6 +12,7 @@ fingerprint a block. Batches are ranges of doc_id in ascending order: what the i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import compress
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.common import pieces, scratch, shuffles_freed, stored
-from headway.llm.words import SECOND_BASE, mixed, window_hashes, word_hashes, word_spans
+from headway.llm.words import mixed, window_digests, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 BATCHES, FANOUT = 6, 4
@@ -32,7 +34,6 @@ SLICES = 4
 PIECE = 1 << 20
 #: Fingerprints aimed at in a bucket of the index.
 BUCKET = 500_000
-_LOW = np.uint64(16)  # so many low bits of a hash name the bucket; the others are the fingerprint
 
 
 def packed(a: np.ndarray, rising: bool = False) -> bytes:
@@ -61,9 +62,9 @@ class Windows:
         self.at = np.flatnonzero(self.inside)
         self.hash, self.text = h[self.inside], of[: len(h)][self.inside]
 
-    def second(self) -> np.ndarray:
-        """A second hash of each window's words, independent of the first."""
-        return window_hashes(word_hashes(self.data, self.starts, self.ends, SECOND_BASE), self.size, 2)[self.inside]
+    def digests(self, of: np.ndarray) -> np.ndarray:
+        """64 bits of BLAKE2 of the words of the windows numbered `of`."""
+        return window_digests(self.data, self.starts, self.ends, self.at[of], self.size)
 
 
 def _raw(column) -> list[bytes]:
@@ -92,14 +93,14 @@ def _entries(buckets: int, size: int):
                 inner = inner[np.r_[True, (h[inner][1:] != h[inner][:-1]) | (doc[inner][1:] != doc[inner][:-1])]] if len(inner) else inner
                 rows = []
                 if len(inner):
-                    second = w.second()[order]
-                    inner = inner[second[inner] == second[head[inner]]]
+                    heads, back = np.unique(head[inner], return_inverse=True)
+                    inner = inner[w.digests(order[inner]) == w.digests(order[heads])[back]]
                     rows.append((int(ids[0]) % buckets, "settled", packed(h[inner], True), packed(doc[inner]), b""))
                 h, doc = h[new], doc[new]
                 to = (h & np.uint64(buckets - 1)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-                rows += [(b, "new", packed(h[by[x:y]], True), packed(doc[by[x:y]]), b"") for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                cuts = np.flatnonzero(np.r_[True, np.diff(to[by]) != 0, True])
+                rows += [(int(to[by[x]]), "new", packed(h[by[x:y]], True), packed(doc[by[x:y]]), b"") for x, y in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
     return run
@@ -150,16 +151,35 @@ def _compact(group: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints below `path`. buckets: a power of two, at most 65536, fixed for the index's life."""
+    """Runs of window fingerprints below `path`. buckets: a power of two, fixed for the index's life.
+
+    Each `add` ends by writing a new manifest, and only then drops runs that were merged, so an index whose session was
+    lost opens as it was after its last whole `add`; what that one had begun is overwritten or left unread.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = WINDOW, fanout: int = FANOUT):
         self.spark, self.path, self.buckets, self.window, self.fanout = spark, path, buckets, window, fanout
         self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
         self.made = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index below `path` as its last manifest has it."""
+        names = sorted(x for x in cls(spark, path, 1)._folders(path) if x.startswith("manifest-"))
+        if not names:
+            raise ValueError(f"no index below {path}")
+        held = json.loads(spark.read.text(f"{path}/{names[-1]}").first()[0])
+        index = cls(spark, path, held["buckets"], held["window"], held["fanout"])
+        index.made, index.runs = held["made"], [(n, f"{path}/{p}") for n, p in held["runs"]]
+        return index
+
+    def _commit(self) -> None:
+        text = json.dumps({"buckets": self.buckets, "window": self.window, "fanout": self.fanout, "made": self.made, "runs": [(n, p.rpartition("/")[2]) for n, p in self.runs]})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.made:06d}")
+
     def _write(self, df: DataFrame, path: str) -> None:
         with shuffles_freed(self.spark):
-            df.write.option("compression", "none").partitionBy("kind").parquet(path)
+            df.write.mode("overwrite").option("compression", "none").partitionBy("kind").parquet(path)
 
     def _read(self, path: str, kind: str) -> DataFrame:
         rows = self.spark.read.schema("bucket int, hashes binary, docs binary, others binary").parquet(f"{path}/kind={kind}")
@@ -195,24 +215,40 @@ class FingerprintIndex:
         """Merge-joins a batch of docs(doc_id, text) with the runs, and adds its run. Returns its matches: `hit` (to be verified: others are witnesses) and `settled` (verified within a block)."""
         batch = f"{self.path}/batch-{self.made}"
         with shuffles_freed(self.spark):
-            docs.mapInArrow(_entries(self.buckets, self.window), _ENTRY).write.option("compression", "none").parquet(batch)
+            docs.mapInArrow(_entries(self.buckets, self.window), _ENTRY).write.mode("overwrite").option("compression", "none").parquet(batch)
         path, wrote = self._slices(self.spark.read.schema(_ENTRY).parquet(batch), [p for _, p in self.runs], _merge_join)
         self._drop(batch)
+        merged: list[str] = []
         if any(kind == "run" for _, kind in wrote):
             self.runs.append((0, path))
-            self._compacted()
+            merged = self._compacted()
+        self._commit()
+        for p in merged:
+            self._drop_runs(p)
         return {k: [self._read(p, kind) for p, kind in wrote if kind == k] for k in ("hit", "settled")}
 
-    def _compacted(self) -> None:
-        level = self.runs[-1][0]
+    def verified(self, found: dict[str, list[DataFrame]], history: DataFrame) -> DataFrame | None:
+        """(doc, hash, digest) of matches that `add` returned; digest is null where they are settled. history: (doc_id, text) of all documents added so far. None if there are no matches."""
+        sure = _matches(found["settled"]).select("doc", "hash", F.col("other").alias("digest")) if found["settled"] else None
+        if found["hit"]:
+            hits = _matches(found["hit"]).withColumnRenamed("other", "witness")
+            asked = hits.select("witness", "hash").distinct().groupBy(F.col("witness").alias("doc_id")).agg(F.collect_list("hash").alias("asked"))
+            told = stored(history.join(asked, "doc_id").mapInArrow(_witnessed(self.window), "hash long, witness long, digest long"), "digests")
+            checked = hits.join(told, ["hash", "witness"]).select("doc", "hash", "digest")
+            sure = checked if sure is None else sure.unionAll(checked)
+        return sure
+
+    def _compacted(self) -> list[str]:
+        """Merges full levels; returns the runs that aren't needed any more."""
+        level, merged = self.runs[-1][0], []
         while sum(n == level for n, _ in self.runs) >= self.fanout:
             old = [p for n, p in self.runs if n == level]
             path, _ = self._slices(None, old, _compact)
             self.runs = [r for r in self.runs if r[0] != level]
             level += 1
             self.runs.append((level, path))
-            for p in old:
-                self._drop_runs(p)
+            merged += old
+        return merged
 
     def _drop_runs(self, path: str) -> None:
         for k in range(SLICES):
@@ -223,6 +259,7 @@ class FingerprintIndex:
         for _, path in self.runs:
             self._drop_runs(path)
         self.runs = []
+        self._commit()
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,25 +280,24 @@ def _matches(parts: list[DataFrame]) -> DataFrame:
 
 def _witnessed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The second hashes of the asked windows of each witness."""
+        """The digests of the asked windows of each witness."""
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 w = Windows(_raw(part.column("text")), size)
                 cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
-                second, out = w.second().view(np.int64), []
+                out = []
                 for k, (doc, asked) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked"))):
-                    h = w.hash[cuts[k] : cuts[k + 1]].view(np.int64)
-                    found, at = np.unique(h, return_index=True)
+                    found, at = np.unique(w.hash[cuts[k] : cuts[k + 1]].view(np.int64), return_index=True)
                     keep = np.isin(found, asked.values.to_numpy())
-                    out.append((found[keep], np.full(keep.sum(), doc), second[cuts[k] + at[keep]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["hash", "witness", "second"])
+                    out.append((found[keep], np.full(keep.sum(), doc), w.digests(cuts[k] + at[keep]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["hash", "witness", "digest"])
 
     return run
 
 
-def _both(h: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Two hashes as one."""
-    return mixed(h.view(np.uint64)) ^ second.view(np.uint64)
+def _both(h: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Hash and digest as one."""
+    return mixed(h.view(np.uint64)) ^ digest.view(np.uint64)
 
 
 def _kept(size: int, keep: list[str]):
@@ -271,15 +307,16 @@ def _kept(size: int, keep: list[str]):
                 texts, verdicts = _raw(part.column("text")), part.column("verdicts")
                 some = [k for k in range(len(texts)) if verdicts[k].is_valid]
                 w = Windows([texts[k] for k in some], size)
-                second = w.second() if some else w.hash
                 cuts = np.searchsorted(w.text, np.arange(len(some) + 1))
                 gone: dict[int, np.ndarray] = {}
                 for i, k in enumerate(some):
-                    hashes, seconds = (verdicts[k].values.field(c) for c in range(2))
-                    sure = seconds.is_null().to_numpy(zero_copy_only=False)
-                    v, s = hashes.to_numpy(), seconds.fill_null(0).to_numpy()
-                    h, own = w.hash[cuts[i] : cuts[i + 1]], second[cuts[i] : cuts[i + 1]]
-                    hit = np.isin(h.view(np.int64), v[sure]) | np.isin(_both(h, own), _both(v[~sure], s[~sure]))
+                    hashes, digests = (verdicts[k].values.field(c) for c in range(2))
+                    sure = digests.is_null().to_numpy(zero_copy_only=False)
+                    v, told = hashes.to_numpy(), digests.fill_null(0).to_numpy()
+                    h = w.hash[cuts[i] : cuts[i + 1]]
+                    hit = np.isin(h.view(np.int64), v[sure])
+                    ask = np.flatnonzero(~hit & np.isin(h.view(np.int64), v[~sure]))
+                    hit[ask] = np.isin(_both(h[ask], w.digests(cuts[i] + ask)), _both(v[~sure], told[~sure]))
                     at = w.at[cuts[i] : cuts[i + 1]][hit] - w.first[i]
                     edge = np.zeros(int(w.first[i + 1] - w.first[i]) + 1, np.int64)
                     np.add.at(edge, at, 1)
@@ -307,7 +344,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
     some = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     stats = some.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], F.lit(1000))).first()
-    buckets = 1 << max(4, min(16, int(np.ceil(np.log2(max(1, (stats[0] or 0) / 6 / BUCKET))))))
+    buckets = 1 << max(4, int(np.ceil(np.log2(max(1, (stats[0] or 0) / 6 / BUCKET)))))
     index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets, window)
     bounds = sorted(set(stats[1] or []))
     found: dict[str, list[DataFrame]] = {"hit": [], "settled": []}
@@ -316,18 +353,25 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
         for k, v in index.add(part).items():
             found[k] += v
     index.drop()  # it served this call only
+    return cut(rows, index.verified(found, some), window, keep)
+
+
+def add_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a batch to a lasting index and returns its rows as `remove_repeats` does, cut by what the batch and the index know of smaller doc_ids. history: (doc_id, text) of the batches before; earlier batches aren't cut anew."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
+    some = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    found = index.add(some)
+    known = some if history is None else some.unionAll(history.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text"))
+    return cut(rows, index.verified(found, known), index.window, keep)
+
+
+def cut(rows: DataFrame, sure: DataFrame | None, window: int, keep: tuple[str, ...]) -> DataFrame:
+    """The rows without the words of the verified matches."""
     names = ["doc_id", *keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    sure = _matches(found["settled"]).select("doc", "hash", F.col("other").alias("second")) if found["settled"] else None
-    if found["hit"]:
-        hits = _matches(found["hit"]).withColumnRenamed("other", "witness")
-        asked = hits.select("witness", "hash").distinct().groupBy(F.col("witness").alias("doc_id")).agg(F.collect_list("hash").alias("asked"))
-        seconds = stored(some.join(asked, "doc_id").mapInArrow(_witnessed(window), "hash long, witness long, second long"), "seconds")
-        checked = hits.join(seconds, ["hash", "witness"]).select("doc", "hash", "second")
-        sure = checked if sure is None else sure.unionAll(checked)
     if sure is None:
-        joined = rows.withColumn("verdicts", F.lit(None).cast("array<struct<hash: bigint, second: bigint>>"))
+        joined = rows.withColumn("verdicts", F.lit(None).cast("array<struct<hash: bigint, digest: bigint>>"))
     else:
-        per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("hash", "second")).alias("verdicts"))
+        per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("hash", "digest")).alias("verdicts"))
         joined = rows.join(stored(per_doc, "removals"), F.col("doc_id") == F.col("d"), "left")
     return joined.select(*dict.fromkeys([*names, "text", "verdicts"])).mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")

@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-#: A base for a second, independent hash.
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words of more than so many bytes are hashed one by one.
+_LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... mod 2 ** 64: n of them at least."""
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.multiply.accumulate(x)
-    return _powers[base]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -46,12 +37,24 @@ def lowered(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, from differences of sums over all bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(base, len(raw) + 1)[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * _STEP)
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then 8 bytes at a time, each mixed in before the next; BLAKE2 for long words."""
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) * _STEP + _BASE)
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place
+    left = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(left):
+        rest = size[left] - done
+        part = eight[starts[left] + done]
+        short = np.flatnonzero(rest < 8)
+        part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[left] = mixed((h[left] ^ part) * _BASE + _STEP)
+        left = left[rest > 8]
+        done += 8
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
@@ -59,7 +62,19 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    h = np.full(n, seed * int(_BASE) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(size):
         h = (h ^ (h >> np.uint64(29))) * _STEP + words[k : k + n]
     return mixed(h)
+
+
+def window_digests(data: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Of the windows that start at the words `at`: 64 bits of BLAKE2 of their words joined by one space."""
+    raw = np.frombuffer(data, np.uint8)
+    odd = np.zeros(len(starts) + 1, np.int64)  # places where words aren't joined by one space, so far
+    if len(starts) > 1:
+        np.cumsum((starts[1:] - ends[:-1] != 1) | (raw[ends[:-1]] != 32), out=odd[2:])
+    plain = odd[at + size] == odd[at + 1]
+    digest = hashlib.blake2b
+    out = b"".join([digest(data[a:b] if p else b" ".join(data[a:b].split()), digest_size=8).digest() for a, b, p in zip(starts[at].tolist(), ends[at + size - 1].tolist(), plain.tolist())])
+    return np.frombuffer(out, np.uint64)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headway.llm import ann, minhash, substring_index, suffix_array
+from headway.llm import ann, minhash, substring_index, suffix_array, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,15 +117,71 @@ def test_repeated_words(spark, rows, batches):
     assert got == brute_words(rows) and sum(x[1] for x in got.values()) > 500
 
 
+def morse(n):
+    """The first n letters of the Thue-Morse word, and their complement."""
+    x = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 512, 1024, 4096])
+def test_words_that_defeat_polynomials(spark, n):
+    a, b = morse(n)
+    data, starts, ends, _ = words.word_spans([a.encode(), b.encode(), a.encode()])
+    h = words.word_hashes(data, starts, ends)
+    assert h[0] == h[2] != h[1]
+    rest = [f"w{k}" for k in range(12)]
+    docs = frame(spark, [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([a, *rest]))])
+    assert {r.doc_id: r.n_removed for r in substring_index.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    # 8 of 10 shingles in common, if the words that differ count as different
+    assert {r.doc_id: r.component_id for r in minhash.link(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_window_digests():
+    data, starts, ends, _ = words.word_spans([b"a  b\tc d e f", b"a b c d"])
+    want = [hashlib.blake2b(" ".join(x).encode(), digest_size=8).digest() for x in ("abc", "bcd", "cde", "def", "efa", "fab", "abc", "bcd")]
+    assert words.window_digests(data, starts, ends, np.arange(8), 3).tobytes() == b"".join(want)
+
+
+def test_near_duplicates_in_small_tiles(spark, rows, monkeypatch):
+    want = sorted(minhash.link(frame(spark, rows)).collect())
+    for name, n in (("TILE", 3), ("HOME", 2), ("ASKERS", 2)):
+        monkeypatch.setattr(minhash, name, n)
+    assert sorted(minhash.link(frame(spark, rows), limit=minhash.POSITIONS).collect()) == want
+
+
+def test_limits():
+    assert minhash.limit_for(85) < minhash.limit_for(80) < minhash.POSITIONS
+    assert minhash.limit_for(80, 0) == minhash.POSITIONS
+
+
+def test_lower_threshold(spark):
+    t = [f"w{k}" for k in range(104)]  # 100 shingles; a word changed inside changes five of each
+    docs = frame(spark, [(1, " ".join(t)), (2, " ".join(["x" if k in (20, 60) else w for k, w in enumerate(t)]))])  # 90 of 110
+    assert [r.component_id for r in minhash.link(docs).orderBy("doc_id").collect()] == [1, 2]
+    assert [r.component_id for r in minhash.link(docs, percent=80).orderBy("doc_id").collect()] == [1, 1]
+
+
 def test_index_over_batches(spark, rows, tmp_path):
-    index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), 16)
-    part = lambda low, high: frame(spark, [r for r in rows if low <= r[0] < high and r[1]]).select("doc_id", "text")
+    path = str(tmp_path / "index")
+    index = substring_index.FingerprintIndex(spark, path, 16)
+    part = lambda low, high: frame(spark, [r for r in rows if low <= r[0] < high]).select("doc_id", "text")
+    got = []
     for k in range(0, 160, 32):
-        index.add(part(k, k + 32))
+        got += substring_index.add_batch(index, part(k, k + 32), part(0, k)).collect()
+        index = substring_index.FingerprintIndex.open(spark, path)
     assert sorted(n for n, _ in index.runs) == [0, 1]
-    hits = index.add(part(0, 200))["hit"]
-    again = substring_index._matches(hits)
-    assert again.filter("other >= doc").isEmpty() and not again.isEmpty()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_words(rows)
+    with pytest.raises(ValueError, match="no index"):
+        substring_index.FingerprintIndex.open(spark, str(tmp_path / "none"))
+
+
+def test_repeated_words_in_small_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring_index, "PIECE", 2000)
+    monkeypatch.setattr(substring_index, "BUCKET", 10)
+    long = " ".join(f"w{k % 700}" for k in range(3000))
+    rows = [*rows, (900, long), (901, long[:-900])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_index.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_words(rows)
 
 
 def test_repeats_odd_rows(spark):
