@@ -4,8 +4,8 @@ Per host, tokens (start tags with their path, texts at a path) that share their
 form an equivalence class. Classes that occur on many of the pages and nest within one parent class make the host's
 template. What the template leaves open are slots: the text is taken from the slots within the template's article,
 else from all slots. Only what HTML itself declares to be no main text (nav, aside, hidden ...) is left out besides; a list
-of class and id words is asked where there is no template or the template can't tell. Counts are combined before the shuffle and pages are dealt
-by (host, salt), so a host with a third of all pages is spread.
+of class and id words is asked where there is no template or the template can't tell. Counts are combined before the
+shuffle, and the pages of a host are dealt by (host, salt), with as many salts as the host's size asks for.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+#: A host gets a salt for every so many of its pages, or for each part of 1 / LARGE_HOSTS of all pages if that is more:
+#: so at most LARGE_HOSTS hosts have several salts, and their names are broadcast.
+SALT_PAGES, LARGE_HOSTS = 1000, 100_000
+
+
 def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -185,17 +190,16 @@ def hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))).withColumn("page", F.xxhash64("page_id", "url", "html"))
 
 
-def templates(pages: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+def templates(pages: DataFrame, hosts: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
     """(host, main, constant): hashes of the template's article paths and of its constant texts, wherever they are, one row per host that has a template.
 
-    `pages` comes from `hosted`. A class counts if it has two tokens or more, occurs on `least` pages and on `share` of
+    `pages` comes from `hosted`; hosts: (host, of), with the number of pages. A class counts if it has two tokens or more, occurs on `least` pages and on `share` of
     the host's pages, and all its tags whose parent is outside of it lie in one parent class. A constant text may lie in a tag of any class, such
     as one of many p.
     """
     tokens = pages.select("host", "page", "html").mapInArrow(_tokens, "host string, page long, token long, parent long, kind string, n int")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
     stats = checkpointed(tokens.groupBy("host", "token").agg(F.first("parent").alias("parent"), F.first("kind").alias("kind"), F.count("*").alias("pages"), vector.alias("vector")))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
     frequent = stats.join(hosts, "host").filter((F.col("pages") >= least) & (F.col("pages") >= share * F.col("of")))
     above = frequent.select("host", F.col("token").alias("parent"), F.col("vector").alias("over"))
     outside = F.when((F.col("over") != F.col("vector")) & (F.col("kind") != "text"), F.col("over"))
@@ -213,19 +217,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(col, kind)], ["page_id", "url", "host", "blocks"])
 
 
-def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
+def extract(pages: DataFrame, salt_pages: int = SALT_PAGES) -> DataFrame:
     """page_id, url, text (main text, '' if none) and n_chars, one row per row of pages(page_id, url, html).
 
     Slots anywhere within an article or main element that belongs to the host's template are the text; else those in any
     article or main element; where a page has none, all slots. The host's constant texts are no slots. Within an article,
     they count as such only if more of the page's texts there differ, as copies of an article may fill a host. There, and
     on hosts without a template, the text is all but what the word list names. Null html or url: as empty. Repeated rows
-    give repeated results. Other columns are ignored.
+    give repeated results. Empty table: no rows. Other columns are ignored.
     """
     pages = hosted(pages)
-    template = checkpointed(templates(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hosts = checkpointed(pages.groupBy("host").agg(F.count("*").alias("of")))
+    most = max(salt_pages, (hosts.agg(F.sum("of")).first()[0] or 0) // LARGE_HOSTS)
+    large = F.broadcast(hosts.filter(F.col("of") > most).select("host", F.ceil(F.col("of") / most).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    template = checkpointed(templates(pages, hosts)).join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     blocks = pages.select("page_id", "url", "host", "html").mapInArrow(_blocks, "page_id long, url string, host string, blocks array<struct<mains: array<long>, token: long, text: string, bare: string>>")
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    blocks = blocks.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts)).drop("salts")
     rows = blocks.join(template, ["host", "salt"], "left")
     has = F.col("constant").isNotNull()
     bare = lambda b: F.coalesce(b["bare"], b["text"])

@@ -2,7 +2,8 @@
 
 Archives are written through Spark's text writer, whose commit protocol keeps them whole when executors are lost. It
 writes a separator after each value; the separator is an empty gzip member, so a file is a valid run of members. Each
-archive has a bounded number of records, as a reader holds one archive at a time.
+archive has a bounded size, as Spark gives a reader one archive at a time; the reader inflates and frames it record by
+record.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from headway.llm.common import pieces, scratch
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
-#: Records in an archive.
-RECORDS = 256
+#: Written together: bytes of records, and so many of these an archive. A record is never split.
+GROUP, GROUPS = 1 << 18, 8
 #: Bytes given to zlib at a time.
 CHUNK = 1 << 16
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
@@ -102,8 +103,8 @@ def _page(urn: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def write_archives(pages: DataFrame, path: str, records: int = RECORDS) -> None:
-    """Writes a record per row of pages (page_id, url, html) to archives below `path`.
+def write_archives(pages: DataFrame, path: str, group: int = GROUP, groups: int = GROUPS) -> None:
+    """Writes a record per row of pages (page_id, url, html) to archives below `path`, of about group * groups bytes at most.
 
     Of rows with equal payloads of REVISIT_BYTES or more, those with the largest page_id are responses, the others
     revisit it; rows with the same page_id and payload are both responses. Null html: an empty payload. Null page_id or
@@ -116,13 +117,21 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS) -> None:
     rows = rows.join(last, F.col("digest") == F.col("d"), "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") < F.col("last"), F.col("last").isNotNull() & F.col("page_id").isNull()), F.col("last")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = lambda held: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "html"):
-                cols = (part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))
-                yield pa.RecordBatch.from_arrays([pa.array([record(i, u, h.encode(), d, r) for i, u, h, d, r in zip(*cols)], pa.binary())], ["value"])
+                for i, u, h, d, r in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
+                    held.append(record(i, u, h.encode(), d, r))
+                    size += len(held[-1])
+                    if size >= group:
+                        yield value(held)
+                        held, size = [], 0
+        if held:
+            yield value(held)
 
     out = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value binary")
-    out.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", records).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    out.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", groups).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary"

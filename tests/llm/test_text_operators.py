@@ -103,7 +103,7 @@ def test_archives(spark, tmp_path):
     big, html = "x" * 1000, "<p>é</p>"
     rows = [(1, "http://a/1", big), (2, None, big), (3, "http://a b/\n3", html), (4, "u", html), (5, "u", None), (6, "u", ""), (7, "u", "y" * 999), (8, "u", "y" * 999), (2, None, big), (9, "u", "z" * 300_000), (None, "u", "q")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("last", F.lit(1))
-    warc.write_archives(df, str(tmp_path / "w"), 3)
+    warc.write_archives(df, str(tmp_path / "w"), 1, 3)
     got = warc.read_archives(spark, str(tmp_path / "w")).collect()
     assert len(got) == len(rows) and all(r.intact for r in got)
     for r in got:
@@ -146,7 +146,8 @@ def test_template_of_pages_without_articles(spark):
     html = "<body><div>Welcome to our site</div><div>Story {0} is here</div><div>All rights reserved</div>"
     df = spark.createDataFrame([(k, "http://h/x", html.format(k)) for k in range(8)], "page_id long, url string, html string")
     assert {r.text for r in html_template.extract(df).collect()} == {f"Story {k} is here" for k in range(8)}
-    t = html_template.templates(html_template.hosted(df)).first()
+    pages = html_template.hosted(df)
+    t = html_template.templates(pages, pages.groupBy("host").agg(F.count("*").alias("of"))).first()
     assert len(t.constant) == 2 and t.main == []
 
 
@@ -168,6 +169,39 @@ def test_constants_within_articles_go_and_words_only_guess(spark):
     assert {got[10 + k] for k in range(5)} == {"Same\nCopy\nof it"}
 
 
+def generated_pages(seed=5, hosts=4, each=9):
+    """Pages whose main text is known: hosts differ in markup, each has menus, notices and adverts of its own, some constant and some not."""
+    rng = random.Random(seed)
+    said = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows = []
+    for h in range(hosts):
+        menu, notice, rights = said(3), said(6), said(4)
+        for k in range(each):
+            paragraphs = [said(rng.randint(3, 30)) for _ in range(rng.randint(1, 6))]
+            body = "".join(f"<p>{x}" if h % 2 else f"<p>{x}</p>\n" for x in paragraphs)
+            title = said(4)
+            page = (
+                f"<html><head><title>{title}</title></head><body><nav>{menu}</nav><div class=x{h}>{notice}</div><article><h1>{title}</h1>{body}<p class=y>{notice}</p></article><aside>{said(3)}</aside>{rights}",
+                f"<body><main id=m><h1>{title}</h1><p>{notice}</p><article id=a{k}>{body}</article></main><footer>{said(2)}</footer>",
+                f"<body><div>{menu}</div><h1>{title}</h1>{body}<div>{rights}</div>",
+                f"<body><header>{said(2)}</header><div>{notice}</div><section><h1>{title}</h1>{body}</section><p>{rights}</p>",
+            )[h % 4]
+            rows.append((100 * h + k, f"https://host{h}.example/{k}", page, "\n".join([title, *paragraphs])))
+    return rows
+
+
+def test_generated_pages_and_what_templates_do(spark, monkeypatch):
+    rows = generated_pages()
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {r[0]: r[3] for r in rows}
+    for salt_pages in (1000, 2):
+        assert {r.page_id: r.text for r in html_template.extract(df, salt_pages).collect()} == want
+    none = spark.createDataFrame([], "host string, main array<long>, constant array<long>")
+    monkeypatch.setattr(html_template, "templates", lambda *_: none)
+    without = {r.page_id: r.text for r in html_template.extract(df).collect()}
+    assert all(without[k] != want[k] for k in want)  # constants stay
+
+
 def test_every_block_is_a_token():
     page = "<title>T</title><nav>menu</nav><p>a <b hidden>x</b> b<div class=ad>buy</div><form>all <p>in a form</form>"
     assert [(b.text, b.bare, b.aside) for b in html_template.read_page(page)[1]] == [("T", "T", True), ("menu", "menu", True), ("a b", "a b", False), ("buy", "", False), ("all", "", False), ("in a form", "", False)]
