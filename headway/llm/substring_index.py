@@ -75,11 +75,11 @@ _ENTRY = "bucket int, kind string, hashes binary, docs binary, others binary"
 _ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("hashes", pa.binary()), ("docs", pa.binary()), ("others", pa.binary())])
 
 
-def _entries(buckets: int, size: int):
+def _entries(buckets: int, size: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by bucket of the block's windows, each with its least document; and what is settled within the block."""
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", piece):
                 part = part.take(pa.array(np.argsort(part.column("doc_id").to_numpy(), kind="stable")))
                 ids = part.column("doc_id").to_numpy()
                 w = Windows(_raw(part.column("text")), size)
@@ -215,7 +215,7 @@ class FingerprintIndex:
         """Merge-joins a batch of docs(doc_id, text) with the runs, and adds its run. Returns its matches: `hit` (to be verified: others are witnesses) and `settled` (verified within a block)."""
         batch = f"{self.path}/batch-{self.made}"
         with shuffles_freed(self.spark):
-            docs.mapInArrow(_entries(self.buckets, self.window), _ENTRY).write.mode("overwrite").option("compression", "none").parquet(batch)
+            docs.mapInArrow(_entries(self.buckets, self.window, PIECE), _ENTRY).write.mode("overwrite").option("compression", "none").parquet(batch)
         path, wrote = self._slices(self.spark.read.schema(_ENTRY).parquet(batch), [p for _, p in self.runs], _merge_join)
         self._drop(batch)
         merged: list[str] = []
@@ -233,7 +233,7 @@ class FingerprintIndex:
         if found["hit"]:
             hits = _matches(found["hit"]).withColumnRenamed("other", "witness")
             asked = hits.select("witness", "hash").distinct().groupBy(F.col("witness").alias("doc_id")).agg(F.collect_list("hash").alias("asked"))
-            told = stored(history.join(asked, "doc_id").mapInArrow(_witnessed(self.window), "hash long, witness long, digest long"), "digests")
+            told = stored(history.join(asked, "doc_id").mapInArrow(_witnessed(self.window, PIECE), "hash long, witness long, digest long"), "digests")
             checked = hits.join(told, ["hash", "witness"]).select("doc", "hash", "digest")
             sure = checked if sure is None else sure.unionAll(checked)
         return sure
@@ -278,11 +278,11 @@ def _matches(parts: list[DataFrame]) -> DataFrame:
     return out.select("hashes", "docs", "others").mapInArrow(_unpack, "hash long, doc long, other long")
 
 
-def _witnessed(size: int):
+def _witnessed(size: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The digests of the asked windows of each witness."""
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", piece):
                 w = Windows(_raw(part.column("text")), size)
                 cuts = np.searchsorted(w.text, np.arange(part.num_rows + 1))
                 out = []
@@ -300,10 +300,10 @@ def _both(h: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return mixed(h.view(np.uint64)) ^ digest.view(np.uint64)
 
 
-def _kept(size: int, keep: list[str]):
+def _kept(size: int, keep: list[str], piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", piece):
                 texts, verdicts = _raw(part.column("text")), part.column("verdicts")
                 some = [k for k in range(len(texts)) if verdicts[k].is_valid]
                 w = Windows([texts[k] for k in some], size)
@@ -374,4 +374,4 @@ def cut(rows: DataFrame, sure: DataFrame | None, window: int, keep: tuple[str, .
     else:
         per_doc = sure.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("hash", "digest")).alias("verdicts"))
         joined = rows.join(stored(per_doc, "removals"), F.col("doc_id") == F.col("d"), "left")
-    return joined.select(*dict.fromkeys([*names, "text", "verdicts"])).mapInArrow(_kept(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
+    return joined.select(*dict.fromkeys([*names, "text", "verdicts"])).mapInArrow(_kept(window, names, PIECE), f"{schema}, n_words long, n_removed long, kept_text string")

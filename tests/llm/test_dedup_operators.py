@@ -211,7 +211,12 @@ def brute_bytes(rows, size=50):
     return out
 
 
-def test_repeated_bytes(spark, rows, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_bytes(spark, rows, monkeypatch, small):
+    if small:  # many slices, stretches, blocks and ranges
+        rows = [*rows, (901, "".join(random.Random(8).choices("ab", k=3000)) * 2), (900, "ab" * 900)]
+        for name, n in (("SLICE", 700), ("STRETCH", 90), ("BLOCK", 3000), ("RANGE", 2000), ("SAMPLED", 5)):
+            monkeypatch.setattr(suffix_array, name, n)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_array.remove_repeats(frame(spark, rows)).collect()}
     assert got == brute_bytes(rows) and sum(x[1] for x in got.values()) > 3000
 
@@ -219,18 +224,27 @@ def test_repeated_bytes(spark, rows, monkeypatch):
 def test_suffix_order():
     rng = random.Random(3)
     raw = "".join(rng.choice("ab") for _ in range(300)).encode()
-    text = np.frombuffer(raw + bytes(suffix_array._PAD), np.uint8)
-    row = {"block": 1, "digests": b"", "sizes": np.array([300]).tobytes(), "owners": np.array([1]).tobytes(), "text": text.tobytes()}
-    b = suffix_array.Block(row)
-    _, names = suffix_array._unique(b.triples())
-    _, ranks = suffix_array._unique(b.name_triples(names.astype(np.uint64)))
-    full, w = b.spread(ranks.astype(np.uint64)), suffix_array.wide(b.text)
-    p = np.flatnonzero(b.left >= 50)
-    c = {"c0": w[p], "c1": w[p + 8], "r0": full[p], "r1": full[p + 8], "r2": full[p + 16]}
+    b = suffix_array.Block({"block": 1, "digests": b"", "sizes": np.array([300]).tobytes(), "owners": np.array([1]).tobytes(), "text": raw + bytes(suffix_array._PAD)})
+    at, names, ranks = b.sample(suffix_array._NAMED), np.zeros(b.length, np.uint64), np.zeros(b.length, np.uint64)
+    names[at] = suffix_array.named(b.triples(at)) + 1
+    at, w = b.sample(suffix_array._RANKED), suffix_array.wide(b.text)
+    ranks[at] = suffix_array.named(np.stack([names[at], names[at + 24], w[at + 48] >> np.uint64(48)])) + 1
+    assert [raw[k : k + 50] for k in at[np.argsort(ranks[at], kind="stable")] if k <= 250] == sorted(raw[k : k + 50] for k in at if k <= 250)
+    p = b.starts()
+    c = {"c0": w[p], "c1": w[p + 8], "r0": ranks[p], "r1": ranks[p + 8], "r2": ranks[p + 16]}
     order = p[suffix_array.merged(c, b.cls[p])]
     assert [raw[k : k + 50] for k in order] == sorted(raw[k : k + 50] for k in p)
 
 
+def test_dealing_by_whole_keys():
+    rng = np.random.default_rng(4)
+    keys, splits = rng.integers(0, 3, (3, 500)).astype(np.uint64), np.unique(rng.integers(0, 3, (9, 3)), axis=0).T.astype(np.uint64)
+    bounds = [tuple(x) for x in splits.T.tolist()]
+    got = {int(i): r for r, at in suffix_array.dealt(keys, splits) for i in at}
+    assert got == {k: sum(b <= tuple(keys[:, k].tolist()) for b in bounds) for k in range(500)}
+    assert [r for r, _ in suffix_array.dealt(keys, splits[:, :0])] == [0]
+
+
 def test_least_hashes_agree():
     rng = np.random.default_rng(1)
     a, b = rng.integers(97, 100, 400).astype(np.uint8), rng.integers(97, 100, 300).astype(np.uint8)
