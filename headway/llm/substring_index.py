@@ -2,8 +2,9 @@
 
 Every window of WINDOW words has a fingerprint. An index holds immutable runs: rows of (bucket, sorted fingerprints,
 the least doc_id of each). A batch of documents is merge-joined with all runs bucket by bucket and becomes a run itself;
-FANOUT runs of a level are merged into one of the next. Matches name a witness document and count only after the BLAKE2
-digests of both windows' words, the witness's read from its text, have been compared. The index stays where it is: a
+FANOUT runs of a level are merged into one of the next. Matches name a witness document and count only after a second hash
+of both windows' words, the witness's read from its text, has been compared: both hashes mix every 8 bytes of a word, by
+different constants, so 128 bits of the words are equal in all. The index stays where it is: a
 manifest names its runs, so a later session opens it and adds the next batch.
 
 Windows are combined within some MB of text before they are shuffled, so a passage in a third of all documents gives one
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.common import pieces, scratch, shuffles_freed, stored
-from headway.llm.words import mixed, window_digests, window_hashes, word_hashes, word_spans
+from headway.llm.words import mixed, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 BATCHES, FANOUT = 6, 4
@@ -60,11 +61,14 @@ class Windows:
         h = window_hashes(word_hashes(self.data, self.starts, self.ends), size)
         self.inside = of[: len(h)] == of[size - 1 :][: len(h)]
         self.at = np.flatnonzero(self.inside)
+        self.second: np.ndarray | None = None
         self.hash, self.text = h[self.inside], of[: len(h)][self.inside]
 
     def digests(self, of: np.ndarray) -> np.ndarray:
-        """64 bits of BLAKE2 of the words of the windows numbered `of`."""
-        return window_digests(self.data, self.starts, self.ends, self.at[of], self.size)
+        """A second hash of the words of the windows numbered `of`."""
+        if self.second is None:
+            self.second = window_hashes(word_hashes(self.data, self.starts, self.ends, True), self.size, 2)[self.inside]
+        return self.second[of]
 
 
 def _raw(column) -> list[bytes]:

@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_OTHER, _THIRD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x8CB92BA72F3D8DD7)
 #: Words of more than so many bytes are hashed one by one.
 _LONG = 256
 _SPACE = np.zeros(256, bool)
@@ -37,10 +38,11 @@ def lowered(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: its length, then 8 bytes at a time, each mixed in before the next; BLAKE2 for long words."""
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then 8 bytes at a time, each mixed in before the next; BLAKE2 for long words. second: another such hash, by other constants."""
     size = ends - starts
-    h = mixed(size.astype(np.uint64) * _STEP + _BASE)
+    base, step = (_OTHER, _THIRD) if second else (_BASE, _STEP)
+    h = mixed(size.astype(np.uint64) * step + base)
     eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place
     left = np.flatnonzero(size <= _LONG)
     done = 0
@@ -49,11 +51,11 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         part = eight[starts[left] + done]
         short = np.flatnonzero(rest < 8)
         part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
-        h[left] = mixed((h[left] ^ part) * _BASE + _STEP)
+        h[left] = mixed((h[left] ^ part) * base + step)
         left = left[rest > 8]
         done += 8
     for k in np.flatnonzero(size > _LONG):
-        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, person=b"second" if second else b"").digest(), "little")
     return h
 
 
@@ -66,15 +68,3 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     for k in range(size):
         h = (h ^ (h >> np.uint64(29))) * _STEP + words[k : k + n]
     return mixed(h)
-
-
-def window_digests(data: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Of the windows that start at the words `at`: 64 bits of BLAKE2 of their words joined by one space."""
-    raw = np.frombuffer(data, np.uint8)
-    odd = np.zeros(len(starts) + 1, np.int64)  # places where words aren't joined by one space, so far
-    if len(starts) > 1:
-        np.cumsum((starts[1:] - ends[:-1] != 1) | (raw[ends[:-1]] != 32), out=odd[2:])
-    plain = odd[at + size] == odd[at + 1]
-    digest = hashlib.blake2b
-    out = b"".join([digest(data[a:b] if p else b" ".join(data[a:b].split()), digest_size=8).digest() for a, b, p in zip(starts[at].tolist(), ends[at + size - 1].tolist(), plain.tolist())])
-    return np.frombuffer(out, np.uint64)
