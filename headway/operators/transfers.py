@@ -63,16 +63,15 @@ def declared_transfers(declared: DataFrame) -> DataFrame:
 def min_transfer_times(stops: DataFrame, declared: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(from_stop_id, to_stop_id, min_transfer_time, walk_s, source): declared beats station beats walking; both ends are stops.
 
-    walk_s stays where a higher rule wins.
+    walk_s stays where a higher rule wins. The grid is joined once: one aggregate takes the best rule and the walk of a pair.
     """
-    level = lambda df, k, t: df.select("from_stop_id", "to_stop_id", F.lit(k).alias("level"), t.cast("int").alias("t"))
-    w = walks(stops, rules)
-    rows = level(declared_transfers(declared), 1, F.col("declared_s")).union(level(same_station(stops), 2, F.lit(rules.station_s))).union(level(w, 3, F.col("walk_s") + rules.walk_margin_s))
-    best = rows.groupBy("from_stop_id", "to_stop_id").agg(F.min(F.struct("level", "t")).alias("m"))
+    level = lambda df, k, t, walk: df.select("from_stop_id", "to_stop_id", F.lit(k).alias("level"), t.cast("int").alias("t"), walk.cast("int").alias("walk_s"))
+    none = F.lit(None)
+    rows = level(declared_transfers(declared), 1, F.col("declared_s"), none).union(level(same_station(stops), 2, F.lit(rules.station_s), none)).union(level(walks(stops, rules), 3, F.col("walk_s") + rules.walk_margin_s, F.col("walk_s")))
+    best = rows.groupBy("from_stop_id", "to_stop_id").agg(F.min(F.struct("level", "t")).alias("m"), F.max("walk_s").alias("walk_s"))
     ends = stops.select("stop_id")
     for side in ("from_stop_id", "to_stop_id"):
         best = best.join(ends.withColumnRenamed("stop_id", side), side, "left_semi")
-    best = best.join(w, ["from_stop_id", "to_stop_id"], "left")
     return best.select("from_stop_id", "to_stop_id", F.col("m.t").alias("min_transfer_time"), "walk_s", F.element_at(F.array(*map(F.lit, ("declared", "station", "walk"))), F.col("m.level")).alias("source"))
 
 
@@ -119,7 +118,7 @@ class InconsistentTransfers(ValueError):
 
 def transfer_table(stops: DataFrame, stations: DataFrame, declared: DataFrame, serves: DataFrame, lifts_out: DataFrame, rules: Rules = Rules(), check: bool = True) -> DataFrame:
     """(from_stop_id, to_stop_id, min_transfer_time, on_foot, accessible, useful). With `check`, a violation is an error that names the rules."""
-    t = min_transfer_times(stops, declared, rules)
+    t = checkpointed(min_transfer_times(stops, declared, rules))  # read by each rule and flag
     ok = accessible(t, accessible_stops(stops, stations), lifts_out, rules)
     if check and (found := violations(stops, stations, t, ok, rules).groupBy("rule").count().orderBy("rule").collect()):
         raise InconsistentTransfers(", ".join(f"{r.rule}: {r['count']}" for r in found))
@@ -128,20 +127,21 @@ def transfer_table(stops: DataFrame, stations: DataFrame, declared: DataFrame, s
     return rows.select("from_stop_id", "to_stop_id", "min_transfer_time", F.col("walk_s").isNotNull().alias("on_foot"), no("accessible"), no("useful"))
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(from_stop_id, to_stop_id) reachable from seeds(stop_id) over edges, each seed from itself.
 
-    Paths double each round: what is reachable in so many steps is joined with itself, so rounds grow with the logarithm
-    of the longest path; rows are checkpointed, and a round without new pairs ends it.
+    Only the pairs that are new in a round are joined with the edges, so every pair meets each edge once; a round adds one
+    step, and one without new pairs ends it.
     """
-    known = checkpointed(seeds.select(F.col("stop_id").alias("from_stop_id"), F.col("stop_id").alias("to_stop_id")).union(edges.select("from_stop_id", "to_stop_id")).distinct())
-    n = known.count()
+    steps = checkpointed(edges.select(F.col("from_stop_id").alias("to_stop_id"), F.col("to_stop_id").alias("next")).distinct())
+    known = checkpointed(seeds.select(F.col("stop_id").alias("from_stop_id"), F.col("stop_id").alias("to_stop_id")).distinct())
+    new = known
     for _ in range(most_rounds):
-        onward = known.select(F.col("from_stop_id").alias("to_stop_id"), F.col("to_stop_id").alias("next"))
-        known = checkpointed(known.join(onward, "to_stop_id").select("from_stop_id", F.col("next").alias("to_stop_id")).distinct())
-        if (now := known.count()) == n:
-            return known.join(seeds.select(F.col("stop_id").alias("from_stop_id")), "from_stop_id", "left_semi").select("from_stop_id", "to_stop_id")
-        n = now
+        reached = new.join(steps, "to_stop_id").select("from_stop_id", F.col("next").alias("to_stop_id")).distinct()
+        new = checkpointed(reached.join(known, ["from_stop_id", "to_stop_id"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = checkpointed(known.unionAll(new))
     raise RuntimeError(f"the closure grew for more than {most_rounds} rounds")
 
 

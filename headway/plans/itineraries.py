@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +14,7 @@ from headway.operators import network as net
 from headway.operators import reliability as rel
 from headway.operators import search as sea
 from headway.operators import transfers as tra
+from headway.operators.state import shared_dir
 from headway.plans import views as v
 from headway.plans.catalog import END, START, query
 from headway.streaming import realtime as rt
@@ -64,10 +64,13 @@ def empirical_quantile(spark, d):
     return v.observations(spark, d).groupBy("mode", "stop_sequence").agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), F.round(F.avg("delay_s"), 6).alias("mean"))
 
 
-@query("SELECT trip_id, seq, round(ln(60 + 120 * u) + 0.4 * r + 0.02 * least(seq, 40), 6) AS mu, round(0.5 + 0.4 * u + 0.3 * r, 6) AS sigma FROM (SELECT trip_id, seq, trip_id % 97 / 97.0 AS u, CASE WHEN departure // 3600 % 24 IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS r FROM stop_times)", "stop_times")
+_UNIT_SQL = "CAST(('0x' || substr(md5('31|' || route_id), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(f"SELECT trip_id, seq, round(ln(50 + 80 * u + 6 * sqrt(least(seq, 64))) + 0.3 * p, 6) AS mu, round(0.4 + 0.25 * u + 0.2 * p, 6) AS sigma FROM (SELECT trip_id, seq, u, greatest(0, 1 - least(abs(h - 7.75), abs(h - 17.25)) / 2.25) AS p FROM (SELECT trip_id, seq, {_UNIT_SQL} AS u, departure // 900 % 96 / 4.0::DOUBLE AS h FROM stop_times JOIN trips USING (trip_id)))", "stop_times", "trips")
 def synthetic_params(spark, d):
-    s = v.stop_times(spark, d)
-    mu, sigma = dis.synthetic_parameters(F.col("trip_id") % 97 / 97.0, F.col("departure"), F.col("seq"))
+    s = v.stop_times(spark, d).join(v.trips(spark, d).select("trip_id", "route_id"), "trip_id")
+    mu, sigma = dis.synthetic_parameters(dis.stable_unit_column(dis.Synthetic().seed, F.col("route_id")), F.col("departure"), F.col("seq"))
     return s.select("trip_id", "seq", F.round(mu, 6).alias("mu"), F.round(sigma, 6).alias("sigma"))
 
 
@@ -130,7 +133,7 @@ def lognormal_cdf(spark, d):
     def run(batches):
         for pdf in batches:
             for x in (0, 60, 300, 900):
-                pdf[f"cdf_{x}"] = dis.lognormal_cdf(float(x), pdf["mu"].to_numpy(), pdf["sigma"].to_numpy(), -90.0).round(6)
+                pdf[f"cdf_{x}"] = dis.lognormal_cdf(float(x), pdf["mu"].to_numpy(), pdf["sigma"].to_numpy(), dis.SHIFT).round(6)
             yield pdf
 
     return params.mapInPandas(run, "trip_id long, seq int, mu double, sigma double, cdf_0 double, cdf_60 double, cdf_300 double, cdf_900 double")
@@ -278,10 +281,7 @@ def csp_agreement(spark, d):
 
 def _streamed(spark, d, build) -> DataFrame:
     """The result of a stream over the events, run over all that is there. build: of the stream's events to the stream's result."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    base = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")  # a stream reads a pattern, not a single file
     stream = build(events)

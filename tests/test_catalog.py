@@ -7,6 +7,8 @@ import __spark_entry__ as entry
 from headway.plans import catalog, itineraries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing on these smallest tables; on larger ones they do.
+EMPTY = set("accessible_transfers block_successors candidate_pairs_grid integrity_violations lift_outage_difference same_station_pairs trips_past_midnight walking_bands".split())
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -28,7 +30,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     ours, theirs = catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows(ours) == rows(theirs)
+    assert rows(ours) == rows(theirs) and (len(theirs) or name in EMPTY)
 
 
 def test_entry_has_rows(spark):
