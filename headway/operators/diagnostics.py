@@ -144,6 +144,22 @@ def real_coverage(polls: DataFrame, interval_s: int, tz: str, keys: tuple[str, .
     return out.select(*keys, "day", "successes", rounded(F.col("successes") / F.col("polls")).alias("coverage"), rounded(F.least(F.lit(1.0), F.col("successes") * interval_s / 86400.0)).alias("real_coverage"))
 
 
+def gap_hours(polls: DataFrame, threshold_s: int, tz: str, keys: tuple[str, ...] = ("city",)) -> DataFrame:
+    """(keys, day, gaps, hours): by local day on which they begin, the gaps and how long they are in all."""
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("gap_start"), tz))
+    return gaps(polls, threshold_s, keys).groupBy(*keys, day.alias("day")).agg(F.count("*").alias("gaps"), rounded(F.sum("gap_s") / 3600.0).alias("hours"))
+
+
+def negative_medians(by_hour: DataFrame, *keys: str) -> DataFrame:
+    """(keys, hours, negative): of a table by hour with `median`, how many hours there are and in how many it is below zero."""
+    return by_hour.groupBy(*keys).agg(F.count("*").alias("hours"), F.coalesce(F.sum(F.when(F.col("median") < 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("negative"))
+
+
+def examples(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order, for a report."""
+    return rows.orderBy(*order).limit(n)
+
+
 def snapshot_dedup(polls: DataFrame, keys: tuple[str, ...] = ("feed",), order: tuple[str, ...] = ("instant",)) -> DataFrame:
     """Polls whose feed timestamp differs from that of the poll saved before; 0 and null always count as new.
 

@@ -19,6 +19,12 @@ def events(stop_times: DataFrame, start: int, end: int) -> DataFrame:
     return inside.select("trip_id", "seq", "stop_id", "arrival", "departure", after.alias("next_seq"))
 
 
+def events_on(stop_times: DataFrame, trips: DataFrame, services: DataFrame, start: int, end: int) -> DataFrame:
+    """`events` of the trips that run with one of the services(service_id), as `services.active_services` gives them for a date."""
+    running = trips.join(services, "service_id", "left_semi").select("trip_id")
+    return events(stop_times.join(running, "trip_id", "left_semi"), start, end)
+
+
 def departures_index(events_: DataFrame, start: int, end: int) -> DataFrame:
     """(stop_id, place, trip_id, seq, departure): a stop's departures inside the window, in order of time, ties by trip and place."""
     w = Window.partitionBy("stop_id").orderBy("departure", "trip_id", "seq")

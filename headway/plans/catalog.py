@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.functions import geo, times
+from headway.functions import geo, modes, times
 from headway.operators import consolidation as con
 from headway.operators import diagnostics as dia
 from headway.operators import network as net
@@ -17,6 +17,7 @@ from headway.operators import transfers as tra
 from headway.operators.state import checkpointed
 from headway.plans import views as v
 from headway.plans.views import TZ, with_views
+from headway.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -440,6 +441,12 @@ def network_events(spark, d):
     return net.events(v.stop_times(spark, d), START, END)
 
 
+@query(f"{_ON_DAY}, ev AS (SELECT trip_id, seq, stop_id, arrival, departure FROM stop_times WHERE departure >= {START} - 3600 AND arrival <= {END} + 3600 AND trip_id IN (SELECT trip_id FROM trips WHERE service_id IN (SELECT service_id FROM active))) SELECT *, lead(seq) OVER (PARTITION BY trip_id ORDER BY seq) AS next_seq FROM ev", "stop_times", "trips", "calendar", "calendar_dates")
+def network_on_date(spark, d):
+    services = ser.active_services(v.calendar(spark, d), v.calendar_dates(spark, d), DAY)
+    return net.events_on(v.stop_times(spark, d), v.trips(spark, d), services, START, END)
+
+
 @query(f"SELECT stop_id, CAST(row_number() OVER (PARTITION BY stop_id ORDER BY departure, trip_id, seq) AS INT) AS place, trip_id, seq, departure FROM network WHERE departure BETWEEN {START} AND {END}", "network")
 def departures_index(spark, d):
     return net.departures_index(net.events(v.stop_times(spark, d), START, END), START, END)
@@ -472,3 +479,36 @@ def recoveries_topk(spark, d):
     a, b = s.filter("seq = 1"), s.filter("seq = 2")
     legs = t.join(a.select("trip_id", F.col("stop_id").alias("board_stop"), "departure"), "trip_id").join(b.select("trip_id", F.col("stop_id").alias("alight_stop")), "trip_id").withColumnRenamed("trip_id", "leg_id").select("leg_id", "route_id", "board_stop", "alight_stop", "departure")
     return net.recoveries(s, t, legs, 2)
+
+
+# Labels, dumps and reports
+
+_LABEL = "CASE route_type WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 2 THEN 'rail' WHEN 3 THEN 'bus' WHEN 4 THEN 'ferry' WHEN 5 THEN 'cable tram' WHEN 6 THEN 'aerial lift' WHEN 7 THEN 'funicular' WHEN 11 THEN 'trolleybus' WHEN 12 THEN 'monorail' ELSE 'other' END"
+
+
+@query(f"SELECT mode, count(*) AS n, round(avg(delay_s), 6) AS mean FROM observations LEFT JOIN (SELECT trip_id, {_LABEL} AS mode FROM trips JOIN routes USING (route_id)) USING (trip_id) GROUP BY ALL".replace("SELECT mode,", "SELECT r.mode AS mode,").replace(") USING (trip_id) GROUP", ") r USING (trip_id) GROUP"), "observations", "routes")
+def delay_by_route_type(spark, d):
+    o = v.observations(spark, d).drop("mode").join(v.trips(spark, d).select("trip_id", "route_id"), "trip_id", "left")
+    return modes.with_mode(o, v.routes(spark, d)).groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("delay_s"), 6).alias("mean"))
+
+
+@query("SELECT mode, count(*) AS hours, CAST(count(*) FILTER (WHERE median < 0) AS BIGINT) AS negative FROM (SELECT mode, hour(timezone('Europe/Rome', to_timestamp(feed_ts))) AS hour, quantile_cont(delay_s, 0.5) AS median FROM observations GROUP BY ALL) GROUP BY mode", "observations")
+def negative_median_hours(spark, d):
+    by_hour = v.observations(spark, d).groupBy("mode", times.local_hour(F.col("feed_ts"), TZ).alias("hour")).agg(F.percentile("delay_s", 0.5).alias("median"))
+    return dia.negative_medians(by_hour, "mode")
+
+
+@query("SELECT city, CAST(CAST(timezone('Europe/Rome', to_timestamp(p)) AS DATE) AS VARCHAR) AS day, count(*) AS gaps, round(sum(instant - p) / 3600.0, 6) AS hours FROM (SELECT city, instant, lag(instant) OVER (PARTITION BY city ORDER BY instant) AS p FROM polls WHERE outcome IN ('saved', 'duplicate')) WHERE instant - p >= 3600 GROUP BY ALL", "polls")
+def gap_hours(spark, d):
+    return dia.gap_hours(v.polls(spark, d), 3600, TZ).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT city, feed, instant, CAST(CAST(t AS DATE) AS VARCHAR) AS local_date, strftime(t, '%H%M%S') || CASE WHEN n > 0 THEN '-' || n ELSE '' END || '.pb' AS name FROM (SELECT *, timezone('Europe/Rome', to_timestamp(instant)) AS t, row_number() OVER (PARTITION BY city, feed, instant ORDER BY event_id) - 1 AS n FROM (SELECT city, feed_ts AS feed, instant // 3600 * 3600 AS instant, event_id FROM polls))", "polls")
+def dump_paths(spark, d):
+    p = v.polls(spark, d).select("city", F.col("feed_ts").alias("feed"), (F.floor(F.col("instant") / 3600) * 3600).cast("long").alias("instant"), F.col("event_id").alias("order"))
+    return sinks.dump_paths(p, TZ).select("city", "feed", "instant", F.col("local_date").cast("string").alias("local_date"), "name")
+
+
+@query("SELECT event_id, trip_id, delay_s FROM observations ORDER BY delay_s DESC, event_id LIMIT 20", "observations")
+def largest_delays(spark, d):
+    return dia.examples(v.observations(spark, d).select("event_id", "trip_id", "delay_s"), 20, F.desc("delay_s"), "event_id")

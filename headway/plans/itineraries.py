@@ -14,7 +14,7 @@ from headway.operators import network as net
 from headway.operators import reliability as rel
 from headway.operators import search as sea
 from headway.operators import transfers as tra
-from headway.operators.state import shared_dir
+from headway.operators.state import checkpointed, shared_dir
 from headway.plans import views as v
 from headway.plans.catalog import END, START, query
 from headway.streaming import realtime as rt
@@ -40,6 +40,42 @@ def pareto_frontier(spark, d):
     return sea.pareto(*_search(spark, d), START, END)
 
 
+@query()
+def search_paths(spark, d):
+    """Each query's earliest way, leg by leg."""
+    found = sea.earliest_arrival(*_search(spark, d), START, END, paths=True)
+    return found.select("query_id", F.posexplode_outer("legs").alias("leg", "l")).select("query_id", (F.coalesce("leg", F.lit(-1)) + 1).alias("leg"), "l.*")
+
+
+def _plans(spark, d) -> DataFrame:
+    """All labels of the searches as itineraries."""
+    asked = _search(spark, d)
+    return rel.itineraries(sea.pareto(*asked, START, END, paths=True), asked[0], v.stop_times(spark, d), v.trips(spark, d))
+
+
+@query()
+def planned_itineraries(spark, d):
+    legs = F.transform("legs", lambda x: F.concat_ws(":", x["min_transfer_s"].cast("string"), x["route_id"], F.size(x["alternatives"]).cast("string")))
+    return _plans(spark, d).select("itinerary_id", "query_id", "pos", "arrival", "transfers", "tail_walk_s", F.concat_ws(",", legs).alias("legs"))
+
+
+MARGINS = (0, 300, 600, 900, 1200, 1800)
+
+
+@query()
+def deadline_grid(spark, d):
+    """By strategy and margin: how likely what it chooses is to arrive in time."""
+    return dia.city_table(rel.deadline_grid(_plans(spark, d), MARGINS, dis.Synthetic(), invented=True), "strategy", "margin", measures=("probability",))
+
+
+@query()
+def deadline_gain(spark, d):
+    """By margin: what the robust choice gains over the fastest."""
+    grid = rel.deadline_grid(_plans(spark, d), MARGINS, dis.Synthetic(), invented=True).filter("strategy IN ('robust', 'fastest')")
+    gain = grid.groupBy("query_id", "margin").agg(F.sum(F.when(F.col("strategy") == "robust", F.col("probability")).otherwise(-F.col("probability"))).alias("gain"))
+    return dia.city_table(gain, "margin", measures=("gain",))
+
+
 _LABELS = "SELECT DISTINCT o_custkey AS query_id, CAST(floor(o_totalprice / 1000) AS BIGINT) AS arrival, o_orderkey % 4 AS boardings, o_orderkey % 11 * 60 AS walk_s FROM orders"
 
 
@@ -205,15 +241,6 @@ def candidate_spread(spark, d):
     return rel.divergence(_candidates(spark, d))
 
 
-@query(f"WITH c AS ({_CANDIDATES}), r AS (SELECT query_id, max(probability) AS p FROM c GROUP BY query_id), f AS (SELECT query_id, probability AS q FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY arrival, transfers, pos) = 1) SELECT margin, count(*) AS n, round(avg(least(1, p + margin / 3600.0) - least(1, q + margin / 3600.0)), 6) AS gain_mean, round(coalesce(stddev_samp(least(1, p + margin / 3600.0) - least(1, q + margin / 3600.0)), 0), 6) AS gain_std FROM r JOIN f USING (query_id), (SELECT unnest([0, 300, 600, 900, 1200, 1800]) AS margin) GROUP BY margin")
-def deadline_gain(spark, d):
-    c = _candidates(spark, d)
-    both = rel.robust(c).select("query_id", F.col("probability").alias("p")).join(rel.fastest(c).select("query_id", F.col("probability").alias("q")), "query_id")
-    both = both.withColumn("margin", F.explode(F.array(*map(F.lit, (0, 300, 600, 900, 1200, 1800)))))
-    at = lambda c: F.least(F.lit(1.0), F.col(c) + F.col("margin") / 3600.0)
-    return dia.city_table(both.withColumn("gain", at("p") - at("q")), "margin", measures=("gain",))
-
-
 # Trips of several legs
 
 _INSTANCES = """WITH candidates AS (SELECT o_custkey AS instance_id, o_orderkey % 3 AS leg, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) - 1 AS pos, o_orderkey % 3 * 9000 + o_orderkey * 37 % 9000 AS ready, o_orderkey % 3 * 9000 + o_orderkey * 37 % 9000 + 1800 + o_orderkey % 1200 AS arrival, o_orderkey % 7 % 3 AS transfers, o_orderkey % 600 AS walk_s FROM orders),
@@ -315,9 +342,14 @@ def experiment_summary(spark, d):
     return dia.city_table(v.observations(spark, d), "mode", "stop_sequence", measures=("delay_s", "coarse"))
 
 
-@query("WITH c AS (SELECT o_custkey, o_orderstatus, min(floor(o_totalprice)) AS cost FROM orders GROUP BY ALL) SELECT v.o_orderstatus AS variant, count(*) AS n, round(avg(v.cost / b.cost), 6) AS ratio_mean, round(coalesce(stddev_samp(v.cost / b.cost), 0), 6) AS ratio_std FROM c v JOIN c b ON b.o_custkey = v.o_custkey AND b.o_orderstatus = 'F' WHERE v.o_orderstatus <> 'F' GROUP BY variant")
+@query()
 def variant_savings(spark, d):
-    c = v.table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min(F.floor("o_totalprice")).cast("double").alias("cost"))
-    base = c.filter("o_orderstatus = 'F'").select("o_custkey", F.col("cost").alias("base"))
-    both = c.filter("o_orderstatus <> 'F'").join(base, "o_custkey").select(F.col("o_orderstatus").alias("variant"), (F.col("cost") / F.col("base")).alias("ratio"))
+    """By variant of the search, the part of the plain search's states that it holds: with fewer boardings, and pruned by what is known at the destination."""
+    asked = _search(spark, d)
+    base = checkpointed(sea.states_seen(*asked, START, END, prune=False)).withColumnRenamed("states", "base")
+    out = None
+    for name, how in {"pruned": {}, "two boardings": {"boardings": 2, "prune": False}, "one boarding": {"boardings": 1, "prune": False}}.items():
+        one = sea.states_seen(*asked, START, END, **how).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionAll(one)
+    both = out.join(base, "query_id").select("variant", (F.col("states") / F.col("base")).alias("ratio"))
     return dia.city_table(both, "variant", measures=("ratio",))

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headway.functions.modes import route_type_label
 from headway.functions.times import epoch
 
 TZ = "Europe/Rome"
-MODES = ("tram", "metro", "rail", "bus")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,13 @@ def stop_times(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trip_id", "seq", "stop_id", "arrival", (F.col("arrival") + F.col("l_linenumber") * 5).cast("long").alias("departure"))
 
 
+def routes(spark: SparkSession, d: str) -> DataFrame:
+    """The trips' routes; their types are 0 to 13, of which some codes mean nothing."""
+    return trips(spark, d).select("route_id").distinct().withColumn("route_type", (F.col("route_id") % 14).cast("int"))
+
+
 def mode_of(number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, MODES)), (number % 4 + 1).cast("int"))
+    return route_type_label(number % 4)
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +78,7 @@ SQL = {
     "stop_times": """SELECT trip_id, seq, stop_id, arrival, CAST(arrival + l_linenumber * 5 AS BIGINT) AS departure FROM (
         SELECT l_orderkey AS trip_id, CAST(row_number() OVER w AS INT) AS seq, l_suppkey AS stop_id, l_linenumber, CAST(21600 + l_orderkey * 37 % 64800 + sum(60 + l_partkey % 300) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS arrival
         FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey))""",
+    "routes": "SELECT DISTINCT route_id, CAST(route_id % 14 AS INT) AS route_type FROM trips",
     "observations": """SELECT *, feed_ts + CAST(floor(value / 60) AS BIGINT) * 60 AS observed, ['tram', 'metro', 'rail', 'bus'][CAST(trip_id % 4 AS INT) + 1] AS mode, CAST(floor(value / 50) AS BIGINT) AS coarse FROM (
         SELECT event_id, CAST(ts AS DATE) AS service_date, user_id AS trip_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS INT) AS stop_sequence, CAST(floor(epoch(ts)) AS BIGINT) AS feed_ts, value, event_type, CAST(floor(value * 10) AS INT) - 600 AS delay_s FROM events)""",
     "polls": "SELECT trip_id % 3 AS city, feed_ts AS instant, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'saved' WHEN event_type = 'purchase' THEN 'duplicate' WHEN event_type = 'signup' THEN 'rejected' ELSE 'failed' END AS outcome, CAST(floor(value / 100) AS BIGINT) AS feed_ts FROM observations",
@@ -93,7 +99,7 @@ SQL = {
     "network": """SELECT trip_id, seq, stop_id, arrival, departure, lead(seq) OVER (PARTITION BY trip_id ORDER BY seq) AS next_seq FROM stop_times WHERE departure >= 28800 - 3600 AND arrival <= 36000 + 3600""",
 }
 #: What each view reads of the others.
-NEEDS = {"polls": ["observations"], "serves": ["stop_times", "trips"], "walks": ["stops"], "same_station": ["stops"], "transfers": ["declared", "same_station", "walks"], "accessible_stops": ["stops", "stations"], "accessible": ["transfers", "accessible_stops", "lifts_out"], "network": ["stop_times"]}
+NEEDS = {"routes": ["trips"], "polls": ["observations"], "serves": ["stop_times", "trips"], "walks": ["stops"], "same_station": ["stops"], "transfers": ["declared", "same_station", "walks"], "accessible_stops": ["stops", "stations"], "accessible": ["transfers", "accessible_stops", "lifts_out"], "network": ["stop_times"]}
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

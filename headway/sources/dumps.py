@@ -18,26 +18,39 @@ from pyspark.sql import functions as F
 _NAME = r"(\d{2})(\d{2})(\d{2})\.pb$"
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files as they are; archives member by member."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            if re.search(r"\.tar(\.gz)?$|\.tgz$", path):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"path": [f"{path}!{m.name}"], "name": [m.name.rpartition("/")[2]], "content": [tar.extractfile(m).read()]})
-            else:
-                yield pd.DataFrame({"path": [path], "name": [path.rpartition("/")[2]], "content": [content]})
+class OutOfOrder(ValueError):
+    """An archive's members don't follow each other in time."""
+
+
+def _members(ordered: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Files as they are; archives member by member."""
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if re.search(r"\.tar(\.gz)?$|\.tgz$", path):
+                    last: dict[str, str] = {}
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        for m in tar:
+                            if m.isfile():
+                                folder, _, name = m.name.rpartition("/")
+                                if ordered and name < last.get(folder, ""):
+                                    raise OutOfOrder(f"{path}: {m.name} comes after {last[folder]}")
+                                last[folder] = name
+                                yield pd.DataFrame({"path": [f"{path}!{m.name}"], "name": [name], "content": [tar.extractfile(m).read()]})
+                else:
+                    yield pd.DataFrame({"path": [path], "name": [path.rpartition("/")[2]], "content": [content]})
+
+    return run
 
 
-def read_dumps(spark: SparkSession, path: str, subfolder: str | None = None) -> DataFrame:
+def read_dumps(spark: SparkSession, path: str, subfolder: str | None = None, ordered: bool = False) -> DataFrame:
     """(path, name, content, bytes) of all .pb files below `path`, loose or in tar archives, alike; those of one subfolder only, if asked.
 
-    Their order is that of `name`, which is the time of day; later steps order by it, not by how files were read.
+    Their order is that of `name`, which is the time of day; later steps order by it, not by how files were read. ordered:
+    an archive whose members of a folder aren't in that order is an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = files.filter(F.col("path").rlike(r"\.(pb|tar|tar\.gz|tgz)$")).mapInPandas(_members, "path string, name string, content binary")
+    rows = files.filter(F.col("path").rlike(r"\.(pb|tar|tar\.gz|tgz)$")).mapInPandas(_members(ordered), "path string, name string, content binary")
     rows = rows.filter(F.col("name").endswith(".pb"))
     if subfolder:
         rows = rows.filter(F.col("path").contains(f"/{subfolder}/") | F.col("path").contains(f"!{subfolder}/"))

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headway.operators.state import checkpointed
+
 OBSERVATIONS = ("city", "feed_date", "service_date", "trip_id", "route_id", "stop_id", "stop_sequence", "scheduled", "observed", "delay_s", "feed_ts", "poll_ts", "time_origin", "delay_origin")
 NOT_NULL = ("city", "service_date", "trip_id", "stop_sequence", "observed", "feed_ts")
 
@@ -81,6 +83,50 @@ def version_index(days: DataFrame) -> DataFrame:
     return days.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("md5"))).select("city", F.col("day").alias("valid_from"), F.col("md5").alias("version"))
 
 
+INDEX = "city string, valid_from date, version string"
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of timetable versions; empty where it isn't there. Lines that can't be read are skipped."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], INDEX)
+    rows = spark.read.schema(f"{INDEX}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    return rows.filter("broken IS NULL AND city IS NOT NULL AND valid_from IS NOT NULL").drop("broken")
+
+
+def upsert_index(rows: DataFrame, path: str) -> None:
+    """Adds versions (city, valid_from, version) to the index, in place of those of the same city and day; it is kept in order."""
+    spark = rows.sparkSession
+    new = rows.groupBy("city", "valid_from").agg(F.max("version").alias("version"))
+    merged = read_index(spark, path).join(new, ["city", "valid_from"], "left_anti").unionByName(new)
+    merged = checkpointed(merged)  # what is replaced has been read
+    merged.coalesce(1).sortWithinPartitions("city", "valid_from").write.mode("overwrite").json(path)  # a row a city and timetable
+
+
+def dump_paths(polls: DataFrame, tz: str, keys: tuple[str, ...] = ("city", "feed")) -> DataFrame:
+    """polls(keys, instant, order) with the place of their dump: local_date and name, the local time; further ones of a second get -1, -2 ... by `order`."""
+    local = F.from_utc_timestamp(F.timestamp_seconds("instant"), tz)
+    second = Window.partitionBy(*keys, "instant").orderBy("order")
+    n = F.row_number().over(second) - 1
+    name = F.concat(F.date_format(local, "HHmmss"), F.when(n > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit(".pb"))
+    return polls.select("*", F.to_date(local).alias("local_date"), name.alias("name"))
+
+
+def write_dumps(rows: DataFrame, path: str, quarantine: str) -> None:
+    """Appends payloads (city, feed, local_date, name, content, error) below `path`, by city, date and feed; those with an error go below `quarantine`, with it. It can serve as a stream's foreachBatch."""
+    by = ("city", "local_date", "feed")
+    rows = checkpointed(rows.select(*by, "name", "content", "error"))
+    rows.filter("error IS NULL").drop("error").write.mode("append").partitionBy(*by).parquet(path)
+    rows.filter("error IS NOT NULL").write.mode("append").partitionBy(*by).parquet(quarantine)
+
+
+def latest_archive(spark: SparkSession, folder: str, pattern: str = r"\.(zip|tgz|tar\.gz)$") -> str | None:
+    """The path of the archive below `folder` whose file name comes last; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").filter(F.col("path").rlike(pattern))
+    return files.agg(F.max_by("path", F.substring_index("path", "/", -1))).first()[0]
+
+
 def md5_of_file(text: Column) -> Column:
     """The md5 that an md5sum file's text names, lower case; empty if it names none."""
     return F.regexp_extract(F.lower(text), r"^\s*([0-9a-f]{32})\b", 1)
