@@ -78,5 +78,39 @@ l AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, true AS intact FROM l
 """
 
+# Strings of 50 bytes as 100 hexadecimal digits
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, x, n, unnest(range(n)) AS i FROM d),
+s AS (SELECT doc_id, i, x[2 * i + 1:2 * i + 2] AS b, CASE WHEN i + 50 <= n THEN x[2 * i + 1:2 * i + 100] END AS s FROM p),
+f AS (SELECT *, CASE WHEN s IS NOT NULL THEN min(doc_id) OVER (PARTITION BY s) < doc_id ELSE FALSE END AS again FROM s),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE opens) AS spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+q AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inside FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM q JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * inside >= 85 * (m.n + o.n - inside)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id),
+c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i + 12 <= len(w) THEN array_to_string(w[i:i + 12], ' ') END AS s FROM p),
+f AS (SELECT *, CASE WHEN s IS NOT NULL THEN min(doc_id) OVER (PARTITION BY s) < doc_id ELSE FALSE END AS again FROM s),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS r, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array, op2_nearest_neighbours, op3_byte_bpe, op4_minhash_dedup, op5_html_text, op6_warc, op7_language_id, op8_repeated_passages, op9_mix_sources, op10_mpeg_audio)}
-ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents")}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array": REPEATS_SQL, "op4_minhash_dedup": NEAR_SQL, "op8_repeated_passages": PASSAGES_SQL, "op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents")}
