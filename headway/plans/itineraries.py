@@ -19,15 +19,15 @@ from headway.plans import views as v
 from headway.plans.catalog import END, START, query
 from headway.streaming import realtime as rt
 
-# Searches: every stop to the next one of its station's ring
+# Searches: every stop to the one numbered before it, which declared transfers lead away from
 
 
 def _search(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = v.stops(spark, d)
-    after = F.lead("stop_id").over(Window.partitionBy("parent_station").orderBy("stop_id"))
-    last = F.first("stop_id").over(Window.partitionBy("parent_station").orderBy("stop_id"))
-    queries = s.select(F.col("stop_id").alias("query_id"), F.col("stop_id").alias("origin"), F.coalesce(after, last).alias("destination"), F.lit(START).alias("instant"))
-    return queries, net.events(v.stop_times(spark, d), START, END), tra.min_transfer_times(s, v.declared(spark, d)).select("from_stop_id", "to_stop_id", "min_transfer_time")
+    goals = s.select((F.col("stop_id") + 1).alias("origin"), F.col("stop_id").alias("destination"))
+    queries = s.select(F.col("stop_id").alias("query_id"), F.col("stop_id").alias("origin"), F.lit(START).alias("instant")).join(goals, "origin").select("query_id", "origin", "destination", "instant")
+    transfers = checkpointed(tra.min_transfer_times(s, v.declared(spark, d)).select("from_stop_id", "to_stop_id", "min_transfer_time"))
+    return queries, checkpointed(net.events(v.stop_times(spark, d), START, END)), transfers  # each round reads them
 
 
 @query()
