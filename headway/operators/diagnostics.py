@@ -128,11 +128,20 @@ def coverage(polls: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("coverage", rounded(F.coalesce(F.try_divide(F.col("saved") + F.col("duplicate"), F.col("polls")), F.lit(0.0))))
 
 
+DAY_S = 86400
+
+
 def gaps(polls: DataFrame, threshold_s: int, keys: tuple[str, ...] = ("city",)) -> DataFrame:
-    """(keys, gap_start, gap_end, gap_s): stretches of `threshold_s` or more between one success and the next."""
-    ok = polls.filter(F.col("outcome").isin("saved", "duplicate"))
-    before = F.lag("instant").over(Window.partitionBy(*keys).orderBy("instant"))
-    rows = ok.select(*keys, before.alias("gap_start"), F.col("instant").alias("gap_end")).withColumn("gap_s", F.col("gap_end") - F.col("gap_start"))
+    """(keys, gap_start, gap_end, gap_s): stretches of `threshold_s` or more between one success and the next.
+
+    Days are looked at by themselves; only the first and last success of each meet those of other days.
+    """
+    ok = polls.filter(F.col("outcome").isin("saved", "duplicate")).select(*keys, "instant", F.floor(F.col("instant") / DAY_S).alias("_day"))
+    before = F.lag("instant").over(Window.partitionBy(*keys, "_day").orderBy("instant"))
+    within = ok.select(*keys, before.alias("gap_start"), F.col("instant").alias("gap_end"))
+    days = ok.groupBy(*keys, "_day").agg(F.min("instant").alias("gap_end"), F.max("instant").alias("_last"))
+    between = days.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("gap_start"), "gap_end")
+    rows = within.unionByName(between).withColumn("gap_s", F.col("gap_end") - F.col("gap_start"))
     return rows.filter(F.col("gap_s") >= threshold_s)
 
 
@@ -163,13 +172,21 @@ def examples(rows: DataFrame, n: int, *order) -> DataFrame:
 def snapshot_dedup(polls: DataFrame, keys: tuple[str, ...] = ("feed",), order: tuple[str, ...] = ("instant",)) -> DataFrame:
     """Polls whose feed timestamp differs from that of the poll saved before; 0 and null always count as new.
 
-    A poll that isn't saved has the timestamp of the one saved before, so the last known one can be read from any row.
+    A poll that isn't saved has the timestamp of the one saved before, so the last known one can be read from any row. The
+    first of `order` is an instant; days are looked at by themselves and start with what the days before them knew last.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
     known = F.when(F.col("feed_ts") != 0, F.col("feed_ts"))
-    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = known.isNull() | before.isNull() | (known != before)
-    return polls.withColumn("_fresh", fresh).filter("_fresh").drop("_fresh")
+    rows = polls.withColumn("_day", F.floor(F.col(order[0]) / DAY_S)).withColumn("_known", known)
+    behind = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*keys, "_day").agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.struct(*order))).alias("_end"))
+    start = F.last("_end", ignorenulls=True).over(behind(Window.partitionBy(*keys).orderBy("_day")))
+    days = days.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_day").alias("_d"), start.alias("_start"))
+    same = F.col("_day") == F.col("_d")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    before = F.coalesce(F.last("_known", ignorenulls=True).over(behind(Window.partitionBy(*keys, "_day").orderBy(*order))), F.col("_start"))
+    fresh = F.col("_known").isNull() | before.isNull() | (F.col("_known") != before)
+    return rows.join(days, same).withColumn("_fresh", fresh).filter("_fresh").select(*polls.columns)
 
 
 def city_table(rows: DataFrame, *keys: str, measures: tuple[str, ...]) -> DataFrame:

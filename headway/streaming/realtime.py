@@ -14,16 +14,21 @@ def _frame(rows: list, names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
-def change_dedup(rows: DataFrame, key: tuple[str, ...], order: str, value: str) -> DataFrame:
+def change_dedup(rows: DataFrame, key: tuple[str, ...], order: str, value: str, keep_hours: int = 48) -> DataFrame:
     """Streaming change-dedup: a key's first row and those whose value differs from the one before. Output: key, order, value (longs or strings as given).
 
-    Within a micro-batch rows are taken in order; batches are taken as they come.
+    Within a micro-batch rows are taken in order; batches are taken as they come. order: epoch seconds. What is known of a
+    key is forgotten once the stream is keep_hours past its last row, as keys hold a service date; rows that come later than
+    that are left out.
     """
     kinds = dict(rows.dtypes)
-    names = [*key, order, value]
+    names, keep_ms = [*key, order, value], keep_hours * 3_600_000
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values([order, value])
         seen, last = (True, state.get[0]) if state.exists else (False, None)
         out = []
@@ -32,9 +37,11 @@ def change_dedup(rows: DataFrame, key: tuple[str, ...], order: str, value: str)
                 out.append((*k, o, v))
             seen, last = True, v
         state.update((last,))
+        state.setTimeoutTimestamp(max(int(pdf[order].max()) * 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield _frame(out, names)
 
-    return rows.select(*names).groupBy(*key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
+    timed = rows.select(*names, F.timestamp_seconds(order).alias("_at")).withWatermark("_at", f"{keep_hours} hours")
+    return timed.groupBy(*key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gaps(successes: DataFrame, key: str, instant: str, threshold_s: int) -> DataFrame:
