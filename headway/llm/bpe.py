@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from headway.llm.common import pieces
 
 #: Resolved pre-tokens in a generation; a task remembers two, some 120 MB. What is used goes on to the younger one.
-REMEMBERED = 300_000
+REMEMBERED, LONG = 300_000, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -148,7 +148,9 @@ def _names(df: DataFrame, without: tuple[str, ...]) -> tuple[DataFrame, str]:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The rows plus ids array<int>: the text's tokens, each match of the pattern encoded by itself, without special tokens.
 
-    Null and empty texts have no ids. A column named ids is replaced. `path` is a rank file that the driver can read.
+    Null and empty texts have no ids. Rows that repeat give equal ids each; an empty table gives no rows. A column named ids
+    is replaced, others stay. `path` is a rank file that the driver can read. Pre-tokens are remembered from piece to piece,
+    REMEMBERED of at most LONG characters; longer ones are resolved anew in each piece.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(path, pattern))
@@ -167,6 +169,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 new = list(new.difference(older))
                 known.update(zip(new, vocab.resolve([w.encode() for w in new])))
                 ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, x)), np.int32) for x in texts]
+                for w in new:
+                    if len(w) > LONG:
+                        del known[w]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))

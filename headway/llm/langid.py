@@ -221,6 +221,11 @@ def predict(docs: DataFrame, model: tuple[list[str], Network] | None, text: str
 
 
 def identify(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows plus held_out (fold 1, never learned from), lang_pred and score; learns from the other folds' labelled rows."""
+    """The rows plus held_out (fold 1, never learned from), lang_pred and score; learns from the other folds' labelled rows.
+
+    Null texts and those without a letter are UNDETERMINED with score 0, and so is all if nothing is labelled. Rows that
+    repeat, and equal texts, are judged alike; a null doc_id belongs to the fold of an empty text. An empty table gives no
+    rows. Columns named as those that are added are replaced.
+    """
     model = fit(docs.filter(fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang"), seed)
     return predict(docs.withColumn("held_out", fold(F.col("doc_id")) == 1), model)

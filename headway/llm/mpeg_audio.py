@@ -210,7 +210,8 @@ def decode(stream: Stream) -> bytes:
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows plus n_bytes and media, the stream that holds the text's UTF-8 bytes as units. Null text: no bytes, one unit.
 
-    A column of the rows with one of these names is replaced.
+    Equal texts give equal streams, in rows that repeat too. An empty table gives no rows. A column of the rows with one of
+    these names is replaced.
     """
     names = [c for c in docs.columns if c not in ("n_bytes", "media")]
     out = docs.select(*names)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -48,6 +49,12 @@ def test_heap_merge(vocabulary, reference):
         assert list(bpe.heap_merge(w.encode(), vocabulary.ranks)) == reference._encode_single_piece(w.encode())
 
 
+def test_long_pre_tokens_are_not_remembered(spark, reference):
+    texts = ["x" * 700, "x" * 700 + " x", "é" * 300, "x" * 700]
+    rows = bpe.encode(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1), PATH, PATTERN).collect()
+    assert [r.ids for r in sorted(rows, key=lambda r: r.doc_id)] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_encode_and_decode(spark, reference):
     df = docs(spark, [(i, t, "s") for i, t in enumerate(TEXTS)]).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
     rows = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
@@ -68,6 +75,9 @@ def test_media_round_trip(spark):
         raw = (TEXTS[r.doc_id] or "").encode()
         payload = mpeg_audio.units(raw)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert payload == raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw)) and r.tail_crc32 == zlib.crc32(payload[-32:])
+        media = mpeg_audio.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert r.payload_bytes % 576 == 0 and r.frames == r.table_frames == r.payload_bytes // 576 and r.table_bytes == 672 * (r.frames + 1)
         assert (r.bad_crc, r.resyncs, r.skipped, r.rate) == (0, 0, 0, 48000) and r.seconds == [r.samples // math.gcd(r.samples, 48000), 48000 // math.gcd(r.samples, 48000)]
         assert len(r.offsets) == r.frames and all(b - a == 672 for a, b in zip(r.offsets, r.offsets[1:]))
