@@ -57,10 +57,14 @@ def _start(instances: DataFrame) -> DataFrame:
     return instances.select("instance_id", F.array().cast("array<bigint>").alias("positions"), long(-(1 << 40)).alias("free"), long(0).alias("used_t"), long(0).alias("used_w"), long(0).alias("last"), *_BUDGETS)
 
 
-def greedy(instances: DataFrame, legs: DataFrame, candidates: DataFrame, most_legs: int = 4) -> DataFrame:
+def _most_legs(instances: DataFrame) -> int:
+    return instances.agg(F.max("legs")).first()[0] or 1
+
+
+def greedy(instances: DataFrame, legs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(instance_id, positions, arrival) of instances that taking each leg's best fitting candidate by (arrival, transfers, walk, pos) solves."""
     state, done = _start(instances), None
-    for k in range(most_legs):
+    for k in range(_most_legs(instances)):
         rows = _extended(state, k, candidates, legs)
         w = Window.partitionBy("instance_id").orderBy("arrival", "transfers", "walk_s", "pos")
         state = _taken(rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1"), _BUDGETS)
@@ -69,7 +73,7 @@ def greedy(instances: DataFrame, legs: DataFrame, candidates: DataFrame, most_le
     return done.select("instance_id", "positions", F.col("last").alias("arrival"))
 
 
-def complete(instances: DataFrame, legs: DataFrame, candidates: DataFrame, most_legs: int = 4) -> DataFrame:
+def complete(instances: DataFrame, legs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(instance_id, positions, arrival): the feasible assignment that arrives first, ties by positions in order.
 
     Legs are joined one by one. A partial assignment is dropped if the least the other legs need breaks a budget, or if
@@ -77,7 +81,7 @@ def complete(instances: DataFrame, legs: DataFrame, candidates: DataFrame, most_
     """
     least = candidates.groupBy("instance_id", "leg").agg(F.min("transfers").alias("t"), F.min("walk_s").alias("w"))
     state, done = _start(instances), None
-    for k in range(most_legs):
+    for k in range(_most_legs(instances)):
         rows = _taken(_extended(state, k, candidates, legs), _BUDGETS)
         need = least.filter(F.col("leg") > k).groupBy("instance_id").agg(F.sum("t").alias("nt"), F.sum("w").alias("nw"))
         rows = rows.join(need, "instance_id", "left").filter("used_t + coalesce(nt, 0) <= max_transfers AND used_w + coalesce(nw, 0) <= max_walk_s").drop("nt", "nw")
