@@ -11,6 +11,7 @@ from headway.functions import modes
 from headway.operators import network, services
 from headway.sources import dumps as dp
 from headway.sources import sinks
+from headway.streaming import realtime
 
 
 def test_index_is_read_and_kept(spark, tmp_path):
@@ -75,3 +76,41 @@ def test_network_of_a_date(spark):
     dates = spark.createDataFrame([("on", dt.date(2027, 5, 5), 1)], "service_id string, date date, exception_type int")
     at = lambda day: {(r.trip_id, r.seq, r.next_seq) for r in network.events_on(st, trips, services.active_services(None, dates, day), 0, 100).collect()}
     assert at(dt.date(2027, 5, 5)) == {("t", 1, 2), ("t", 2, None)} and at(dt.date(2027, 5, 6)) == set()
+
+
+def test_transfers_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", 60), ("a", "gone", 60), ("gone", "b", 60)], "from_stop_id string, to_stop_id string, min_transfer_time int")
+    sinks.write_transfers(rows, str(tmp_path / "t"))
+    known = spark.createDataFrame([("a",), ("b",)], "stop_id string")
+    assert [(r.from_stop_id, r.to_stop_id, r.min_transfer_time) for r in sinks.read_transfers(spark, str(tmp_path / "t"), known).collect()] == [("a", "b", 60)]
+
+
+def test_polls_on_disk(spark, tmp_path):
+    path, schema = str(tmp_path / "polls"), "city string, instant long, outcome string"
+    for k in range(2):
+        sinks.append_poll(spark.createDataFrame([("o", 100 + k, "saved")], schema), path)
+    (tmp_path / "polls/part-broken.json").write_text('{"city": "o", "instant": "soon"\n{"city": "o", "instant": 7, "outcome": "failed"}\n')
+    assert sorted(map(tuple, sinks.read_polls(spark, path, schema).collect())) == [("o", 7, "failed"), ("o", 100, "saved"), ("o", 101, "saved")]
+
+
+def test_days_are_consolidated_once(spark, tmp_path):
+    path, day, today = str(tmp_path / "obs"), dt.date(2027, 5, 1), dt.date(2027, 5, 3)
+    kinds = {"feed_date": "date", "service_date": "date", "stop_sequence": "int", "scheduled": "long", "observed": "long", "delay_s": "int", "feed_ts": "long", "poll_ts": "long"}
+    row = ("o", day, day, "t", "r", "s", 1, 10, 20, 10, 30, 31, "sent", "derived")
+    df = spark.createDataFrame([row], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in sinks.OBSERVATIONS))
+    assert sinks.to_consolidate(spark, path, "o", day, today)
+    sinks.write_observations(df, path)
+    sinks.verify(spark, path, "o", day, 1)
+    assert not sinks.to_consolidate(spark, path, "o", day, today) and sinks.to_consolidate(spark, path, "o", day, today, again=True)
+    assert sinks.to_consolidate(spark, path, "p", day, today)
+    with pytest.raises(ValueError, match="isn't over"):
+        sinks.to_consolidate(spark, path, "o", today, today)
+    with pytest.raises(sinks.VerificationError, match="1 rows instead of 2"):
+        sinks.verify(spark, path, "o", day, 2)
+    assert {r.delay_origin for r in sinks.read_observations(spark, path).collect()} == {"derived"}
+
+
+def test_poll_counts_by_hour(spark):
+    rows = [(dt.datetime(2027, 5, 1, 8, 5), "o", "saved"), (dt.datetime(2027, 5, 1, 8, 59), "o", "failed"), (dt.datetime(2027, 5, 1, 9, 0), "o", "duplicate")]
+    got = realtime.poll_summary(spark.createDataFrame(rows, "ts timestamp, city string, outcome string"), "ts", "city").orderBy("window.start").collect()
+    assert [(r.window.start.hour, r.saved, r.duplicate, r.failed, r.polls) for r in got] == [(8, 1, 0, 1, 2), (9, 0, 1, 0, 1)]
