@@ -2,6 +2,7 @@ import datetime as dt
 import tarfile
 
 import pytest
+import toy
 from pyspark.sql import functions as F
 
 from headway.operators import consolidation as con
@@ -33,54 +34,50 @@ def message(ts, updates):
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("dumps") / "updates"
     root.mkdir()
-    for k, v in enumerate((10, 10, 20, 20)):
-        (root / f"08000{k}.pb").write_bytes(message(1000 + 60 * k, [("T1", "20260825", 2, "", 5000 + v, None)]))
-    (root / "080005.pb").write_bytes(b"<html>no</html>")
-    (root / "080006.pb").write_bytes(message(1300, [("T1", "", 3, "C", None, 90)]))
+    # the tram's arrival at the hill, predicted five times, then a page instead of a feed, then a delay at the mill
+    for name, ts, late in (("071500", 50_000, 7), ("071547", 50_047, 9), ("071630", 50_090, 9), ("071702", 50_122, 9), ("071800", 50_180, 7)):
+        (root / f"{name}.pb").write_bytes(message(ts, [("early", "20270823", 6, "", 26_300 + late, None)]))
+    (root / "071811.pb").write_bytes(b"<html>busy</html>")
+    (root / "071900.pb").write_bytes(message(50_240, [("early", "", 9, "MILL", None, -30)]))
     return root
 
 
 def test_decode_and_poll_instant(spark, folder):
     rows = dp.decode(dp.read_dumps(spark, str(folder))).orderBy("name").collect()
-    assert [r.time for r in rows[:4]] == [5010, 5010, 5020, 5020] and rows[4].corrupt and rows[5].delay == 90 and rows[5].time is None
-    day = spark.createDataFrame([("080001.pb", dt.date(2026, 8, 25)), ("other", dt.date(2026, 8, 25))], "n string, d date")
-    assert [r.i for r in day.select(dp.poll_instant(F.col("n"), F.col("d"), "Europe/Rome").alias("i")).collect()] == [1787637601, 0]
+    assert [r.time for r in rows[:5]] == [26307, 26309, 26309, 26309, 26307] and rows[5].corrupt and rows[6].delay == -30 and rows[6].time is None
+    day = spark.createDataFrame([("071547.pb", toy.DAY), ("notes.txt", toy.DAY)], "n string, d date")
+    at = int(dt.datetime(2027, 8, 23, 5, 15, 47, tzinfo=dt.UTC).timestamp())
+    assert [r.i for r in day.select(dp.poll_instant(F.col("n"), F.col("d"), "Europe/Oslo").alias("i")).collect()] == [at, 0]
 
 
 def test_archive_equals_folder(spark, folder, tmp_path):
     with tarfile.open(tmp_path / "day.tar.gz", "w:gz") as t:
         t.add(folder, "updates")
     a, b = (dp.decode(dp.read_dumps(spark, str(p), "updates")).drop("path") for p in (folder.parent, tmp_path))
-    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr) and a.count() == 6
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr) and a.count() == 7
 
 
 def test_counts_and_verdict(spark, folder):
     counts = dp.payload_counts(dp.read_dumps(spark, str(folder)))
     got = {r.name: r.verdict for r in dp.feed_verdict(counts).collect()}
-    assert got["080000.pb"] == "times" and got["080005.pb"] == "rejected: text" and got["080006.pb"] == "delays"
+    assert got["071500.pb"] == "times" and got["071811.pb"] == "rejected: text" and got["071900.pb"] == "delays"
 
 
 def test_change_dedup_to_sink(spark, folder, tmp_path):
-    day = F.lit(dt.date(2026, 8, 25))
-    p = dp.to_predictions(dp.decode(dp.read_dumps(spark, str(folder))), day).withColumn("version", F.lit("v"))
-    schedule = spark.createDataFrame([("v", "T1", 2, "B", 5000), ("v", "T1", 3, "C", 6000)], "version string, trip_id string, stop_sequence int, sched_stop_id string, scheduled long")
-    routes = spark.createDataFrame([("T1", "L1")], "trip_id string, sched_route_id string")
+    p = dp.to_predictions(dp.decode(dp.read_dumps(spark, str(folder))), F.lit(toy.DAY)).withColumn("version", F.lit("v"))
+    schedule = spark.createDataFrame([("v", "early", 6, "HILL", 26_290), ("v", "early", 9, "MILL", 27_060)], "version string, trip_id string, stop_sequence int, sched_stop_id string, scheduled long")
+    routes = spark.createDataFrame([("early", "tram")], "trip_id string, sched_route_id string")
     rows = con.with_provenance(con.with_schedule(p, schedule, routes))
     kept = con.change_dedup(rows, ("feed_ts", "name", "entity_idx", "stu_idx"))
     got = {(r.stop_sequence, r.feed_ts): r for r in kept.collect()}
-    assert set(got) == {(2, 1000), (2, 1120), (3, 1300)}
-    assert (got[2, 1000].stop_id, got[2, 1000].route_id, got[2, 1000].time_origin, got[2, 1000].delay_origin, got[2, 1000].delay_s) == ("B", "L1", "transmitted", "derived", 10)
-    assert (got[3, 1300].observed, got[3, 1300].time_origin, got[3, 1300].delay_origin) == (6090, "synthesised", "declared")
-    out = kept.withColumns({"city": F.lit("x"), "feed_date": day, "poll_ts": F.lit(0)})
+    assert set(got) == {(6, 50_000), (6, 50_047), (6, 50_180), (9, 50_240)}
+    first, last = got[6, 50_000], got[9, 50_240]
+    assert (first.stop_id, first.route_id, first.time_origin, first.delay_origin, first.delay_s) == ("HILL", "tram", "transmitted", "derived", 17)
+    assert (last.stop_id, last.observed, last.time_origin, last.delay_origin) == ("MILL", 27_030, "synthesised", "declared")
     path = str(tmp_path / "obs")
-    assert sinks.to_consolidate(spark, path, "x", dt.date(2026, 8, 25), dt.date(2026, 8, 26))
-    sinks.write_observations(out, path)
-    sinks.verify(spark, path, "x", dt.date(2026, 8, 25), 3)
-    assert not sinks.to_consolidate(spark, path, "x", dt.date(2026, 8, 25), dt.date(2026, 8, 26)) and sinks.read_observations(spark, path).count() == 3
-    with pytest.raises(sinks.VerificationError):
-        sinks.verify(spark, path, "x", dt.date(2026, 8, 25), 4)
-    with pytest.raises(ValueError):
-        sinks.to_consolidate(spark, path, "x", dt.date(2026, 8, 25), dt.date(2026, 8, 25))
+    sinks.write_observations(kept.withColumns({"city": F.lit("harbour"), "feed_date": F.lit(toy.DAY), "poll_ts": F.lit(0)}), path)
+    sinks.verify(spark, path, "harbour", toy.DAY, 4)
+    assert sinks.read_observations(spark, path).count() == 4
 
 
 @pytest.mark.parametrize("dates, values, want", [("abab", (1, 1, 1, 1), (2, 1, 0)), ("abab", (1, 2, 1, 2), (2, 0, 2))])
