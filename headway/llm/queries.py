@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import ann, bpe, html_template, langid, minhash, mixing, mpeg_audio, substring_index, suffix_array, warc
+from headway.llm import ann, bpe, divergence, html_template, langid, minhash, mixing, mpeg_audio, spelling, substring_index, suffix_array, toxicity, warc
 from headway.llm.common import table
 
 
@@ -71,6 +71,21 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; null and empty texts say nothing for either class, very long ones are read whole, repeated rows are judged alike. An empty table gives no rows; other columns are ignored."""
+    return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ; nulls are empty texts, very long texts are read whole, repeated rows count each. An empty table gives no rows; other columns are ignored."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the form that it is a variant of; null and empty texts have no words, very long ones are read whole, repeated rows count each. An empty table gives no rows; other columns are ignored."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
@@ -122,5 +137,37 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS r, string_agg(x, ' ' ORDER
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array, op2_nearest_neighbours, op3_byte_bpe, op4_minhash_dedup, op5_html_text, op6_warc, op7_language_id, op8_repeated_passages, op9_mix_sources, op10_mpeg_audio)}
-ORACLE_SQL: dict[str, str] = {"op1_suffix_array": REPEATS_SQL, "op4_minhash_dedup": NEAR_SQL, "op8_repeated_passages": PASSAGES_SQL, "op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents")}
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM m JOIN v USING (lang)),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM (SELECT lang, term, sum(n) AS n FROM m GROUP BY lang, term) JOIN v USING (lang)),
+f AS (SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+# A run's crc32 bit by bit over the hexadecimal digits of its bytes. Near words are equal after the loss of one letter of one of them, or of the same letter of both.
+SPELLING_SQL = r"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM o WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, n, list_transform(range(4 * length(x)), lambda k: CAST(((instr('0123456789ABCDEF', x[CAST(2 * (k // 8) + CASE WHEN k % 8 < 4 THEN 2 ELSE 1 END AS INT)]) - 1) >> CAST(k % 4 AS INT)) & 1 AS UBIGINT)) AS bits FROM u),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bits), lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT) AS h FROM b),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+e AS (SELECT word, i, left(word, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+s AS (SELECT a.word, b.word AS near FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT e.word, w.word FROM e JOIN w ON e.rest = w.word UNION SELECT w.word, e.word FROM e JOIN w ON e.rest = w.word),
+m AS (SELECT s.word, count(*) AS n_near, max(w.n) AS top, arg_min(near, (-w.n, encode(near))) AS best FROM s JOIN w ON w.word = s.near GROUP BY s.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN best END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN m USING (word)),
+r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r USING (word) WHERE root IN (SELECT word FROM f WHERE form IS NULL)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array, op2_nearest_neighbours, op3_byte_bpe, op4_minhash_dedup, op5_html_text, op6_warc, op7_language_id, op8_repeated_passages, op9_mix_sources, op10_mpeg_audio, op11_toxicity, op12_source_divergence, op13_spelling_variants)}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array": REPEATS_SQL, "op4_minhash_dedup": NEAR_SQL, "op8_repeated_passages": PASSAGES_SQL, "op6_warc": WARC_SQL, "op9_mix_sources": MIX_SQL.format(documents="documents"), "op12_source_divergence": DIVERGENCE_SQL, "op13_spelling_variants": SPELLING_SQL}
