@@ -158,7 +158,7 @@ def fit_counts(docs: DataFrame, labelled: DataFrame) -> Model | None:
         return None
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_BYTES / total[1])).otherwise(min(1.0, SAMPLE_BYTES / total[0]))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    chosen = labelled.filter(chance < rate * (1 << 30))
+    chosen = stored(labelled.filter(chance < rate * (1 << 30)), "sample")  # a table of known size: Spark broadcasts it while it is small
     # a long text's part begins at a hashed place
     room = F.greatest(F.lit(1), F.length("text") - DOC_BYTES + 1)
     part = F.col("text").substr((F.pmod(F.xxhash64(F.lit("part"), "doc_id"), room) + 1).cast("int"), F.lit(DOC_BYTES))
@@ -224,7 +224,7 @@ def calibrate(docs: DataFrame, labelled: DataFrame, model: Model) -> tuple[np.nd
     if len(total) < 2:
         return None
     rate = F.when(F.col("label") == 1, min(1.0, CALIBRATION_DOCS / total[1])).otherwise(min(1.0, CALIBRATION_DOCS / total[0]))
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
+    chosen = stored(labelled.filter(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 30)) < rate * (1 << 30)), "calibration")
     rows = features(docs.select("doc_id", "text").join(chosen, "doc_id"), model).select("label", *FEATURES).toPandas()  # two classes of CALIBRATION_DOCS
     y = rows.label.to_numpy(float)
     if not 0 < y.sum() < len(y):
