@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.operators.quantiles import exact_quantiles
+from headway.operators.state import checkpointed
+
 
 def rounded(c: Column) -> Column:
     """Six decimals, so that the order of a sum doesn't show."""
@@ -12,11 +15,20 @@ def rounded(c: Column) -> Column:
 
 
 def delay_summary(rows: DataFrame, *keys: str, value: str = "delay_s") -> DataFrame:
-    """n, median, mean, standard deviation, least, quartiles and largest of a value, of all rows or by keys."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """n, median, mean, standard deviation, least, quartiles and largest of a value, of all rows or by keys.
+
+    Of all rows, the quartiles are selected by counting (`quantiles`), so no task holds all values.
+    """
     v = F.col(value)
-    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("low"), q.alias("q"), F.max(v).cast("double").alias("high"))
-    return out.select(*keys, "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), "low", *(rounded(F.col("q")[i]).alias(c) for i, c in enumerate(("q1", "median", "q3"))), "high")
+    if not keys:
+        rows = checkpointed(rows.select(value))  # each pass of the quantiles reads it
+    rest = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("low"), F.max(v).cast("double").alias("high")]
+    if keys:
+        q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        out, three = rows.groupBy(*keys).agg(*rest, q.alias("q")), [F.col("q")[i] for i in range(3)]
+    else:
+        out, three = rows.agg(*rest), [F.lit(x).cast("double") for x in exact_quantiles(rows, value, (0.25, 0.5, 0.75))]
+    return out.select(*keys, "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), "low", *(rounded(x).alias(c) for x, c in zip(three, ("q1", "median", "q3"))), "high")
 
 
 def delay_by(rows: DataFrame, *keys: str, value: str = "delay_s") -> DataFrame:
@@ -48,8 +60,8 @@ def most_common(rows: DataFrame, value: str, k: int = 8) -> DataFrame:
 
 def dispersion(rows: DataFrame, value: str = "delay_s") -> DataFrame:
     """One row: trips of two rows or more, and the medians of their standard deviation, mean and size."""
-    trips = rows.groupBy("trip_id").agg(F.stddev_samp(value).alias("std"), F.avg(value).alias("mean"), F.count("*").alias("n")).filter("n > 1")
-    mid = lambda c: rounded(F.percentile(c, 0.5))
+    trips = checkpointed(rows.groupBy("trip_id").agg(F.stddev_samp(value).alias("std"), F.avg(value).alias("mean"), F.count("*").alias("n")).filter("n > 1"))
+    mid = lambda c: rounded(F.lit(exact_quantiles(trips, c, (0.5,))[0]).cast("double"))
     return trips.agg(F.count("*").alias("trips"), mid("std").alias("median_std"), mid("mean").alias("median_mean"), mid("n").alias("median_size"))
 
 
@@ -99,12 +111,24 @@ def hourly_both(rows: DataFrame, passed: DataFrame, value: str = "delay_s") -> D
     return by(rows, "all").join(by(passed, "passed"), "hour", "full")
 
 
+def numbered(rows: DataFrame, order: str, name: str = "k") -> DataFrame:
+    """The rows with their place (from 0) in the order of a column of different values.
+
+    They are sorted in ranges, a task each; a row's place is that in its range and the number of rows in those before it.
+    """
+    ranges = checkpointed(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranges.withColumn("_inside", inside).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+
+
 def even_blocks(dumps: DataFrame, blocks: int, size: int) -> DataFrame:
     """Of dumps(dump) in order, `size` consecutive ones from each of `blocks` evenly spaced places: (dump, block)."""
     total = dumps.agg(F.count("*").alias("total"))  # one row
-    numbered = dumps.withColumn("k", F.row_number().over(Window.orderBy("dump")) - 1).join(F.broadcast(total))
+    rows = numbered(dumps, "dump").join(F.broadcast(total))
     step = F.greatest(F.lit(size), F.floor(F.col("total") / blocks)).cast("long")
-    return numbered.withColumn("block", F.floor(F.col("k") / step).cast("long")).filter((F.col("k") % step < size) & (F.col("block") < blocks)).select("dump", "block")
+    return rows.withColumn("block", F.floor(F.col("k") / step).cast("long")).filter((F.col("k") % step < size) & (F.col("block") < blocks)).select("dump", "block")
 
 
 def block_order(trips: DataFrame) -> DataFrame:

@@ -93,7 +93,15 @@ def complete(instances: DataFrame, legs: DataFrame, candidates: DataFrame) -> Da
 
 
 def agreement(instances: DataFrame, greedy_: DataFrame, complete_: DataFrame) -> DataFrame:
-    """(instance_id, outcome): both, greedy_fails, unsolvable; and whether both arrive at the same time."""
-    rows = instances.select("instance_id").join(greedy_.select("instance_id", F.col("arrival").alias("g")), "instance_id", "left").join(complete_.select("instance_id", F.col("arrival").alias("c")), "instance_id", "left")
-    outcome = F.when(F.col("c").isNull(), "unsolvable").when(F.col("g").isNull(), "greedy_fails").otherwise("both")
-    return rows.select("instance_id", outcome.alias("outcome"), F.coalesce(F.col("g") == F.col("c"), F.lit(False)).alias("same_arrival"))
+    """(instance_id, outcome, same_arrival, greedy_arrival, complete_arrival): both, greedy_fails, unsolvable; and whether both arrive at the same time."""
+    rows = instances.select("instance_id").join(greedy_.select("instance_id", F.col("arrival").alias("greedy_arrival")), "instance_id", "left").join(complete_.select("instance_id", F.col("arrival").alias("complete_arrival")), "instance_id", "left")
+    g, c = F.col("greedy_arrival"), F.col("complete_arrival")
+    outcome = F.when(c.isNull(), "unsolvable").when(g.isNull(), "greedy_fails").otherwise("both")
+    return rows.select("instance_id", outcome.alias("outcome"), F.coalesce(g == c, F.lit(False)).alias("same_arrival"), "greedy_arrival", "complete_arrival")
+
+
+def outcome_table(rows: DataFrame, *keys: str) -> DataFrame:
+    """Greedy against complete choices by keys, with a line for every prefix of the keys and one for all (their keys null). rows: from `agreement`, with the keys."""
+    g, c = F.col("greedy_arrival"), F.col("complete_arrival")
+    lines = rows.rollup(*keys).agg(F.count("*").alias("n"), F.count(c).alias("solvable"), F.count(g).alias("greedy_solves"), F.count(F.when(F.col("same_arrival"), 1)).alias("same_arrival"), F.round(F.avg(g - c), 6).alias("later_s"))
+    return lines.withColumn("greedy_share", F.round(F.try_divide("greedy_solves", "solvable"), 6))

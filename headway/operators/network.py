@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.operators.quantiles import exact_quantiles
+from headway.operators.state import checkpointed
+
 #: Seconds by which the window is widened on both sides for events that lead in or out.
 MARGIN_S = 3600
 
@@ -50,20 +53,46 @@ def edges(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
 
 def speed_distribution(edges_: DataFrame, limit_kmh: float = 150.0) -> DataFrame:
     """One row: edges, largest speed, percentiles 50, 90, 99 and 99.9, edges above the limit."""
-    q = F.percentile("kmh", F.array(*(F.lit(p) for p in (0.5, 0.9, 0.99, 0.999))))
-    out = edges_.agg(F.count("*").alias("n"), F.max("kmh").alias("m"), q.alias("q"), F.sum(F.when(F.col("kmh") > limit_kmh, 1).otherwise(0)).cast("long").alias("above"))
-    return out.select("n", F.round("m", 6).alias("max_kmh"), *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p99", "p999"))), "above")
+    speeds = checkpointed(edges_.select("kmh"))  # each pass of the quantiles reads it
+    q = exact_quantiles(speeds, "kmh", (0.5, 0.9, 0.99, 0.999))
+    out = speeds.agg(F.count("*").alias("n"), F.max("kmh").alias("m"), F.sum(F.when(F.col("kmh") > limit_kmh, 1).otherwise(0)).cast("long").alias("above"))
+    return out.select("n", F.round("m", 6).alias("max_kmh"), *(F.round(F.lit(x).cast("double"), 6).alias(c) for x, c in zip(q, ("p50", "p90", "p99", "p999"))), "above")
+
+
+#: Seconds of departures that a group of the sweep holds.
+SLOT_S = 900
 
 
 def recoveries(stop_times: DataFrame, trips: DataFrame, legs: DataFrame, k: int = 2) -> DataFrame:
     """(leg_id, rank, trip_id, departure, arrival): for each leg, the next k departures of its route from its stop that reach its alighting stop.
 
     legs: leg_id, route_id, board_stop, alight_stop, departure. A trip counts with its first alighting after boarding.
+
+    A sweep: the departures of a way (route, stop, alighting stop) are dealt into slots of time. Within a slot they are
+    sorted together with the legs, and a leg reads off the chain of the departure behind it; what a slot lacks comes from
+    the first chain of the slots behind it. No leg meets more than k departures, so the work goes with legs and departures.
     """
+    way = ("route_id", "board_stop", "alight_stop")
+    slot = lambda c: F.floor(F.col(c) / SLOT_S).alias("slot")
     on = stop_times.join(trips.select("trip_id", "route_id"), "trip_id")
-    board = on.select("trip_id", "route_id", F.col("stop_id").alias("board_stop"), F.col("seq").alias("board_seq"), F.col("departure").alias("dep"))
+    board = on.select("trip_id", "route_id", F.col("stop_id").alias("board_stop"), F.col("seq").alias("board_seq"), F.col("departure").alias("dep")).join(legs.select(*way).distinct(), ["route_id", "board_stop"])
     there = on.select("trip_id", F.col("stop_id").alias("alight_stop"), F.col("seq").alias("alight_seq"), "arrival")
-    found = legs.join(board, ["route_id", "board_stop"]).filter(F.col("dep") > F.col("departure")).join(there, ["trip_id", "alight_stop"]).filter("alight_seq > board_seq")
-    one = found.groupBy("leg_id", "trip_id", "board_seq").agg(F.min(F.struct("alight_seq", "dep", "arrival")).alias("m")).select("leg_id", "trip_id", "board_seq", "m.dep", "m.arrival")
-    w = Window.partitionBy("leg_id").orderBy("dep", "trip_id", "board_seq")
-    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("leg_id", "rank", "trip_id", F.col("dep").alias("departure"), "arrival")
+    rides = board.join(there, ["trip_id", "alight_stop"]).filter("alight_seq > board_seq").groupBy(*way, "trip_id", "board_seq").agg(F.min(F.struct("alight_seq", "dep", "arrival")).alias("m"))
+    rides = rides.select(*way, slot("m.dep"), F.col("m.dep").alias("dep"), "trip_id", "board_seq", F.col("m.arrival").alias("arrival"))
+    order = ("dep", "trip_id", "board_seq")
+    inside = Window.partitionBy(*way, "slot").orderBy(*order).rowsBetween(0, k - 1)
+    rides = checkpointed(rides.withColumn("chain", F.collect_list(F.struct("dep", "trip_id", "arrival")).over(inside)))  # the k departures from each on
+    # the k departures from each slot on, and behind each slot that a leg asks about
+    by_slot = Window.partitionBy(*way).orderBy("slot")
+    heads = rides.groupBy(*way, "slot").agg(F.min_by("chain", F.struct(*order)).alias("head"))
+    heads = heads.withColumn("head", F.slice(F.flatten(F.collect_list("head").over(by_slot.rowsBetween(0, k - 1))), 1, k))
+    asked = legs.select("leg_id", *way, slot("departure"), "departure")
+    slots = heads.unionByName(asked.select(*way, "slot").distinct(), allowMissingColumns=True).groupBy(*way, "slot").agg(F.first("head", ignorenulls=True).alias("head"))
+    behind = slots.select(*way, "slot", F.first("head", ignorenulls=True).over(by_slot.rowsBetween(1, Window.unboundedFollowing)).alias("rest"))
+    # backwards in time, legs before departures of the same second, as those don't lie behind them
+    both = asked.select(*way, "slot", F.col("departure").alias("dep"), "leg_id").unionByName(rides.drop("arrival"), allowMissingColumns=True)
+    back = Window.partitionBy(*way, "slot").orderBy(F.desc("dep"), F.col("leg_id").isNull(), F.desc("trip_id"), F.desc("board_seq")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.last("chain", ignorenulls=True).over(back)).filter("leg_id IS NOT NULL").join(behind, [*way, "slot"])
+    none = F.array().cast(dict(rides.dtypes)["chain"])
+    chain = F.slice(F.concat(F.coalesce("next", none), F.coalesce("rest", none)), 1, k)
+    return found.select("leg_id", F.posexplode(chain).alias("rank", "c")).select("leg_id", (F.col("rank") + 1).alias("rank"), F.col("c.trip_id").alias("trip_id"), F.col("c.dep").alias("departure"), F.col("c.arrival").alias("arrival"))

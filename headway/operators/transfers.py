@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions.geo import BANDS, cell, distance2, walk_seconds
+from headway.operators.graphs import reachable
 from headway.operators.state import checkpointed
 
 
@@ -127,22 +128,10 @@ def transfer_table(stops: DataFrame, stations: DataFrame, declared: DataFrame, s
     return rows.select("from_stop_id", "to_stop_id", "min_transfer_time", F.col("walk_s").isNotNull().alias("on_foot"), no("accessible"), no("useful"))
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(from_stop_id, to_stop_id) reachable from seeds(stop_id) over edges, each seed from itself.
-
-    Only the pairs that are new in a round are joined with the edges, so every pair meets each edge once; a round adds one
-    step, and one without new pairs ends it.
-    """
-    steps = checkpointed(edges.select(F.col("from_stop_id").alias("to_stop_id"), F.col("to_stop_id").alias("next")).distinct())
-    known = checkpointed(seeds.select(F.col("stop_id").alias("from_stop_id"), F.col("stop_id").alias("to_stop_id")).distinct())
-    new = known
-    for _ in range(most_rounds):
-        reached = new.join(steps, "to_stop_id").select("from_stop_id", F.col("next").alias("to_stop_id")).distinct()
-        new = checkpointed(reached.join(known, ["from_stop_id", "to_stop_id"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = checkpointed(known.unionAll(new))
-    raise RuntimeError(f"the closure grew for more than {most_rounds} rounds")
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(from_stop_id, to_stop_id) reachable from seeds(stop_id) over edges, each seed from itself."""
+    pairs = reachable(seeds.select(F.col("stop_id").alias("v")), edges.select(F.col("from_stop_id").alias("a"), F.col("to_stop_id").alias("b")))
+    return pairs.select(F.col("source").alias("from_stop_id"), F.col("target").alias("to_stop_id"))
 
 
 def nearest_stops(stops: DataFrame, x: int, y: int, k: int) -> DataFrame:

@@ -14,6 +14,7 @@ from headway.operators import diagnostics as dia
 from headway.operators import network as net
 from headway.operators import services as ser
 from headway.operators import transfers as tra
+from headway.operators.quantiles import exact_quantiles
 from headway.operators.state import checkpointed
 from headway.plans import views as v
 from headway.plans.views import TZ, with_views
@@ -179,9 +180,10 @@ def observation_provenance(spark, d):
 
 @query(f"{_SCHEDULE} {_PREDICT} SELECT count(*) AS n, CAST(count(*) FILTER (WHERE scheduled IS NULL) AS BIGINT) AS missing, count(DISTINCT CASE WHEN scheduled IS NULL THEN trip_id END) AS missing_trips, CAST(count(*) FILTER (WHERE scheduled IS NULL AND delay_s IS NOT NULL) AS BIGINT) AS missing_with_delay, round(quantile_cont(CASE WHEN scheduled IS NULL THEN delay_s END, 0.5), 6) AS missing_median FROM joined", "stop_times", "trips")
 def missing_schedule(spark, d):
-    j = _joined(spark, d)
+    j = checkpointed(_joined(spark, d).select("trip_id", "scheduled", "delay_s"))
     none = F.col("scheduled").isNull()
-    return j.agg(F.count("*").alias("n"), F.count(F.when(none, 1)).alias("missing"), F.countDistinct(F.when(none, F.col("trip_id"))).alias("missing_trips"), F.count(F.when(none, F.col("delay_s"))).alias("missing_with_delay"), F.round(F.percentile(F.when(none, F.col("delay_s")), 0.5), 6).alias("missing_median"))
+    median = exact_quantiles(j.filter(none), "delay_s", (0.5,))[0]
+    return j.agg(F.count("*").alias("n"), F.count(F.when(none, 1)).alias("missing"), F.countDistinct(F.when(none, F.col("trip_id"))).alias("missing_trips"), F.count(F.when(none, F.col("delay_s"))).alias("missing_with_delay")).withColumn("missing_median", F.round(F.lit(median).cast("double"), 6))
 
 
 KEY = ("trip_id", "stop_sequence")
@@ -287,10 +289,10 @@ def transfer_table(spark, d):
     return tra.transfer_table(v.stops(spark, d), v.stations(spark, d), v.declared(spark, d), v.serves(spark, d), v.lifts_out(spark, d), check=False)
 
 
-@query(", reach(from_stop_id, to_stop_id) AS (SELECT stop_id, stop_id FROM stops UNION SELECT r.from_stop_id, t.to_stop_id FROM reach r JOIN walks t ON t.from_stop_id = r.to_stop_id) SELECT * FROM reach", "walks", recursive=True)
+@query(", reach(from_stop_id, to_stop_id) AS (SELECT stop_id, stop_id FROM stops UNION SELECT r.from_stop_id, t.to_stop_id FROM reach r JOIN transfers t ON t.from_stop_id = r.to_stop_id) SELECT * FROM reach", "transfers", recursive=True)
 def transfer_closure(spark, d):
     s = v.stops(spark, d)
-    return tra.closure(s.select("stop_id"), tra.walks(s).select("from_stop_id", "to_stop_id"))
+    return tra.closure(s.select("stop_id"), tra.min_transfer_times(s, v.declared(spark, d)))
 
 
 @query(", reach(from_stop_id, to_stop_id) AS (SELECT stop_id, stop_id FROM accessible_stops UNION SELECT r.from_stop_id, t.to_stop_id FROM reach r JOIN accessible t ON t.from_stop_id = r.to_stop_id) SELECT * FROM reach", "accessible", recursive=True)

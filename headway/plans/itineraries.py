@@ -30,12 +30,31 @@ def _search(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return queries, checkpointed(net.events(v.stop_times(spark, d), START, END)), transfers  # each round reads them
 
 
-@query()
+def _search_sql(pareto: bool) -> str:
+    """The rounds unrolled. w6 has the shortest ways on foot of up to 64 transfers, of which none takes less than two minutes; r0 to r4 are the states after as many boardings."""
+    best = lambda rows: f"SELECT query_id, stop_id, t, w FROM (SELECT *, min(w) OVER (PARTITION BY query_id, stop_id ORDER BY t, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT DISTINCT * FROM ({rows}))) WHERE b IS NULL OR w < b"
+    first = lambda rows: f"SELECT query_id, stop_id, min(t) AS t, 0 AS w FROM ({rows}) GROUP BY ALL"
+    keep = best if pareto else first
+    walk = f"SELECT query_id, b AS stop_id, t + s AS t, w + s AS w FROM {{}} JOIN w6 ON a = stop_id WHERE t + s <= {END}"
+    parts = ["q AS (SELECT s.stop_id AS query_id, s.stop_id AS origin, g.stop_id AS destination FROM stops s JOIN stops g ON g.stop_id = s.stop_id - 1)"]
+    parts.append("w0 AS MATERIALIZED (SELECT from_stop_id AS a, to_stop_id AS b, CAST(min_transfer_time AS BIGINT) AS s FROM transfers UNION ALL SELECT stop_id, stop_id, 0 FROM stops)")
+    parts += [f"w{k} AS MATERIALIZED (SELECT x.a, y.b, min(x.s + y.s) AS s FROM w{k - 1} x JOIN w{k - 1} y ON x.b = y.a WHERE x.s + y.s <= {END - START} GROUP BY ALL)" for k in range(1, 7)]
+    parts.append(f"o0 AS (SELECT query_id, origin AS stop_id, {START} AS t, 0 AS w FROM q), r0 AS MATERIALIZED ({keep(walk.format('o0'))})")
+    for k in range(1, 5):
+        parts.append(f"""b{k} AS (SELECT query_id, trip_id, w, min(seq) AS seq FROM r{k - 1} JOIN network USING (stop_id) WHERE next_seq IS NOT NULL AND departure BETWEEN {START} AND {END} AND departure >= t GROUP BY ALL),
+        o{k} AS ({keep(f"SELECT query_id, n.stop_id, n.arrival AS t, w FROM b{k} JOIN network n ON n.trip_id = b{k}.trip_id AND n.seq > b{k}.seq WHERE n.arrival <= {END}")}), r{k} AS MATERIALIZED ({keep(walk.format(f"o{k}"))})""")
+    parts.append("found AS (" + " UNION ALL ".join(f"SELECT query_id, t AS arrival, CAST({k} AS INT) AS boardings, w AS walk_s FROM r{k} JOIN q USING (query_id) WHERE stop_id = destination" for k in range(5)) + ")")
+    if pareto:
+        return ", " + ", ".join(parts) + " SELECT DISTINCT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.query_id = f.query_id AND g.arrival <= f.arrival AND g.boardings <= f.boardings AND g.walk_s <= f.walk_s AND (g.arrival < f.arrival OR g.boardings < f.boardings OR g.walk_s < f.walk_s))"
+    return ", " + ", ".join(parts) + " SELECT query_id, arrival, boardings FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY arrival, boardings) = 1"
+
+
+@query(_search_sql(False), "stops", "transfers", "network")
 def earliest_arrival_rounds(spark, d):
     return sea.earliest_arrival(*_search(spark, d), START, END)
 
 
-@query()
+@query(_search_sql(True), "stops", "transfers", "network")
 def pareto_frontier(spark, d):
     return sea.pareto(*_search(spark, d), START, END)
 
@@ -245,7 +264,7 @@ def candidate_spread(spark, d):
 
 _INSTANCES = """WITH candidates AS (SELECT o_custkey AS instance_id, o_orderkey % 3 AS leg, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) - 1 AS pos, o_orderkey % 3 * 9000 + o_orderkey * 37 % 9000 AS ready, o_orderkey % 3 * 9000 + o_orderkey * 37 % 9000 + 1800 + o_orderkey % 1200 AS arrival, o_orderkey % 7 % 3 AS transfers, o_orderkey % 600 AS walk_s FROM orders),
 legs AS (SELECT DISTINCT o_custkey AS instance_id, leg, 600 AS dwell_s, CASE WHEN leg = 1 THEN 9500 END AS window_from, CASE WHEN leg = 1 THEN 21000 END AS window_to FROM orders, (SELECT unnest([0, 1, 2]) AS leg)),
-instances AS (SELECT DISTINCT o_custkey AS instance_id, 3 AS legs, 3 AS max_transfers, 1000 AS max_walk_s, 29000 AS deadline FROM orders)"""
+instances AS (SELECT DISTINCT o_custkey AS instance_id, 3 AS legs, 3 AS max_transfers, 1000 AS max_walk_s, 27500 + 500 * (o_custkey % 4) AS deadline FROM orders)"""
 
 
 def _instances(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,7 +275,7 @@ def _instances(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     ids = o.select(F.col("o_custkey").alias("instance_id")).distinct()
     one = F.col("leg") == 1
     legs = ids.withColumn("leg", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumns({"dwell_s": F.lit(600), "window_from": F.when(one, 9500), "window_to": F.when(one, 21000)})
-    return ids.withColumns({"legs": F.lit(3), "max_transfers": F.lit(3), "max_walk_s": F.lit(1000), "deadline": F.lit(29000)}), legs, c
+    return ids.withColumns({"legs": F.lit(3), "max_transfers": F.lit(3), "max_walk_s": F.lit(1000), "deadline": 27500 + 500 * (F.col("instance_id") % 4)}), legs, c
 
 
 @query(_INSTANCES + " SELECT instance_id, CAST(sum(t) AS BIGINT) AS min_transfers, CAST(sum(w) AS BIGINT) AS min_walk_s FROM (SELECT instance_id, min(transfers) AS t, min(walk_s) AS w FROM candidates GROUP BY instance_id, leg) GROUP BY instance_id")
@@ -303,6 +322,15 @@ def csp_agreement(spark, d):
     return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.count(F.when(F.col("same_arrival"), 1)).alias("same_arrival"))
 
 
+@query(_INSTANCES + _COMPLETE + _GREEDY + """ SELECT city, legs, slack, count(*) AS n, count(c.arrival) AS solvable, count(g.arrival) AS greedy_solves, CAST(count(*) FILTER (WHERE g.arrival = c.arrival) AS BIGINT) AS same_arrival, round(count(g.arrival) / nullif(count(c.arrival), 0), 6) AS greedy_share, round(avg(g.arrival - c.arrival), 6) AS later_s
+FROM (SELECT instance_id, instance_id % 3 AS city, legs, 500 * (instance_id % 4) AS slack FROM instances) LEFT JOIN greedy g USING (instance_id) LEFT JOIN complete c USING (instance_id) GROUP BY ROLLUP (city, legs, slack)""")
+def csp_outcome_table(spark, d):
+    """Greedy against complete choices by city, legs and slack, with lines for what they add up to."""
+    i, legs, c = _instances(spark, d)
+    rows = mul.agreement(i, mul.greedy(i, legs, c), mul.complete(i, legs, c)).join(i.select("instance_id", (F.col("instance_id") % 3).alias("city"), "legs", (500 * (F.col("instance_id") % 4)).alias("slack")), "instance_id")
+    return mul.outcome_table(rows, "city", "legs", "slack")
+
+
 # Streams over what is in the events table, with the batch operators' SQL
 
 

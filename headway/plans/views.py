@@ -18,17 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stops of a district; each district is a square of its own with its own stations, so the plane grows with the table.
+DISTRICT = 1000
+
+
 def stops(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(k.alias("stop_id"), (k * 7919 % 3000 - 1500).alias("x_m"), (k * 104729 % 3000 - 1500).alias("y_m"), F.col("s_nationkey").alias("parent_station"), (k % 3).cast("int").alias("wheelchair"))
+    district = F.expr(f"s_suppkey div {DISTRICT}")
+    return table(spark, d, "supplier").select(k.alias("stop_id"), (k * 7919 % 3000 - 1500 + 3000 * district).alias("x_m"), (k * 104729 % 3000 - 1500).alias("y_m"), (F.col("s_nationkey") + 25 * district).alias("parent_station"), (k % 3).cast("int").alias("wheelchair"))
 
 
 def stations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("stop_id"), (F.col("n_nationkey") % 3).cast("int").alias("wheelchair"))
+    return stops(spark, d).select(F.col("parent_station").alias("stop_id")).distinct().withColumn("wheelchair", (F.col("stop_id") % 3).cast("int"))
 
 
 def trips(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 40).alias("route_id"), F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("service_date"), F.col("o_custkey").alias("block_id"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id"), F.expr("o_custkey div 5").alias("route_id"), F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("service_date"), F.col("o_custkey").alias("block_id"))
 
 
 def stop_times(spark: SparkSession, d: str) -> DataFrame:
@@ -61,20 +66,21 @@ def polls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serves(spark: SparkSession, d: str) -> DataFrame:
-    """The stops at which trips of a route begin."""
-    return stop_times(spark, d).filter("seq = 1").select("trip_id", "stop_id").join(trips(spark, d).select("trip_id", "route_id"), "trip_id").select("route_id", "stop_id").distinct()
+    """The stops that trips of a route call at."""
+    return stop_times(spark, d).select("trip_id", "stop_id").join(trips(spark, d).select("trip_id", "route_id"), "trip_id").select("route_id", "stop_id").distinct()
 
 
 def declared(spark: SparkSession, d: str) -> DataFrame:
-    """Declared transfers, from the least to the largest supplier of each part; the part's key gives the time."""
-    p = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").groupBy("l_partkey").agg(F.min("l_suppkey").alias("from_stop_id"), F.max("l_suppkey").alias("to_stop_id")).filter("from_stop_id < to_stop_id")
+    """Declared transfers, from each supplier of a part to its next one; the part's key gives the time."""
+    p = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("from_stop_id")).distinct()
+    p = p.withColumn("to_stop_id", F.lead("from_stop_id").over(Window.partitionBy("l_partkey").orderBy("from_stop_id"))).filter("to_stop_id IS NOT NULL")
     return p.select("from_stop_id", "to_stop_id", (240 + F.col("l_partkey") % 600).alias("min_transfer_time"))
 
 
 SQL = {
-    "stops": "SELECT s_suppkey AS stop_id, s_suppkey * 7919 % 3000 - 1500 AS x_m, s_suppkey * 104729 % 3000 - 1500 AS y_m, s_nationkey AS parent_station, CAST(s_suppkey % 3 AS INT) AS wheelchair FROM supplier",
-    "stations": "SELECT n_nationkey AS stop_id, CAST(n_nationkey % 3 AS INT) AS wheelchair FROM nation",
-    "trips": "SELECT o_orderkey AS trip_id, o_custkey % 40 AS route_id, o_orderpriority AS service_id, CAST(o_orderdate AS DATE) AS service_date, o_custkey AS block_id FROM orders",
+    "stops": f"SELECT s_suppkey AS stop_id, s_suppkey * 7919 % 3000 - 1500 + 3000 * (s_suppkey // {DISTRICT}) AS x_m, s_suppkey * 104729 % 3000 - 1500 AS y_m, s_nationkey + 25 * (s_suppkey // {DISTRICT}) AS parent_station, CAST(s_suppkey % 3 AS INT) AS wheelchair FROM supplier",
+    "stations": "SELECT DISTINCT parent_station AS stop_id, CAST(parent_station % 3 AS INT) AS wheelchair FROM stops",
+    "trips": "SELECT o_orderkey AS trip_id, o_custkey // 5 AS route_id, o_orderpriority AS service_id, CAST(o_orderdate AS DATE) AS service_date, o_custkey AS block_id FROM orders",
     "stop_times": """SELECT trip_id, seq, stop_id, arrival, CAST(arrival + l_linenumber * 5 AS BIGINT) AS departure FROM (
         SELECT l_orderkey AS trip_id, CAST(row_number() OVER w AS INT) AS seq, l_suppkey AS stop_id, l_linenumber, CAST(21600 + l_orderkey * 37 % 64800 + sum(60 + l_partkey % 300) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS arrival
         FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey))""",
@@ -82,8 +88,8 @@ SQL = {
     "observations": """SELECT *, feed_ts + CAST(floor(value / 60) AS BIGINT) * 60 AS observed, ['tram', 'metro', 'rail', 'bus'][CAST(trip_id % 4 AS INT) + 1] AS mode, CAST(floor(value / 50) AS BIGINT) AS coarse FROM (
         SELECT event_id, CAST(ts AS DATE) AS service_date, user_id AS trip_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS INT) AS stop_sequence, CAST(floor(epoch(ts)) AS BIGINT) AS feed_ts, value, event_type, CAST(floor(value * 10) AS INT) - 600 AS delay_s FROM events)""",
     "polls": "SELECT trip_id % 3 AS city, feed_ts AS instant, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'saved' WHEN event_type = 'purchase' THEN 'duplicate' WHEN event_type = 'signup' THEN 'rejected' ELSE 'failed' END AS outcome, CAST(floor(value / 100) AS BIGINT) AS feed_ts FROM observations",
-    "serves": "SELECT DISTINCT route_id, stop_id FROM stop_times JOIN trips USING (trip_id) WHERE seq = 1",
-    "declared": "SELECT a AS from_stop_id, b AS to_stop_id, 240 + l_partkey % 600 AS min_transfer_time FROM (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem GROUP BY l_partkey) WHERE a < b",
+    "serves": "SELECT DISTINCT route_id, stop_id FROM stop_times JOIN trips USING (trip_id)",
+    "declared": "SELECT a AS from_stop_id, b AS to_stop_id, 240 + l_partkey % 600 AS min_transfer_time FROM (SELECT l_partkey, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) WHERE b IS NOT NULL",
     "calendar": """SELECT * FROM (VALUES ('1-URGENT', 1, 1, 1, 1, 1, 0, 0, DATE '1992-01-01', DATE '1998-12-31'), ('2-HIGH', 1, 1, 1, 1, 1, 1, 1, DATE '1992-01-01', DATE '1998-12-31'), ('3-MEDIUM', 0, 0, 0, 0, 0, 1, 1, DATE '1992-01-01', DATE '1998-12-31'), ('4-NOT SPECIFIED', 1, 0, 1, 0, 1, 0, 0, DATE '1994-06-01', DATE '1996-05-31'))
         AS t(service_id, monday, tuesday, wednesday, thursday, friday, saturday, sunday, start_date, end_date)""",
     "calendar_dates": """SELECT * FROM (VALUES ('5-LOW', DATE '1995-06-02', 1), ('1-URGENT', DATE '1995-06-02', 2), ('2-HIGH', DATE '1995-08-15', 1), ('2-HIGH', DATE '1995-08-15', 2), ('3-MEDIUM', DATE '1995-06-02', 1)) AS t(service_id, date, exception_type)""",
@@ -99,7 +105,7 @@ SQL = {
     "network": """SELECT trip_id, seq, stop_id, arrival, departure, lead(seq) OVER (PARTITION BY trip_id ORDER BY seq) AS next_seq FROM stop_times WHERE departure >= 28800 - 3600 AND arrival <= 36000 + 3600""",
 }
 #: What each view reads of the others.
-NEEDS = {"routes": ["trips"], "polls": ["observations"], "serves": ["stop_times", "trips"], "walks": ["stops"], "same_station": ["stops"], "transfers": ["declared", "same_station", "walks"], "accessible_stops": ["stops", "stations"], "accessible": ["transfers", "accessible_stops", "lifts_out"], "network": ["stop_times"]}
+NEEDS = {"stations": ["stops"], "routes": ["trips"], "polls": ["observations"], "serves": ["stop_times", "trips"], "walks": ["stops"], "same_station": ["stops"], "transfers": ["declared", "same_station", "walks"], "accessible_stops": ["stops", "stations"], "accessible": ["transfers", "accessible_stops", "lifts_out"], "network": ["stop_times"]}
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

@@ -5,9 +5,6 @@ The message is described at run time from the public field numbers, so no genera
 
 from __future__ import annotations
 
-import io
-import re
-import tarfile
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,46 +12,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headway.sources.archives import DumpSource
+
 _NAME = r"(\d{2})(\d{2})(\d{2})\.pb$"
 
 
-class OutOfOrder(ValueError):
-    """An archive's members don't follow each other in time."""
+def read_dumps(spark: SparkSession, path: str, subfolder: str | None = None, ordered: bool = False) -> DataFrame:
+    """(path, name, content, bytes) of all .pb files below `path`, loose or in tar archives, alike; those of one subfolder only, if asked.
 
+    Their order is that of `name`, which is the time of day; later steps order by it, not by how files were read. ordered:
+    an archive whose members of a folder aren't in that order is an error. See `DumpSource`.
+    """
+    spark.dataSource.register(DumpSource)
+    return _inside(spark.read.format("dumps").option("ordered", ordered).load(path), subfolder)
 
-def _members(ordered: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Files as they are; archives member by member."""
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                if re.search(r"\.tar(\.gz)?$|\.tgz$", path):
-                    last: dict[str, str] = {}
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for m in tar:
-                            if m.isfile():
-                                folder, _, name = m.name.rpartition("/")
-                                if ordered and name < last.get(folder, ""):
-                                    raise OutOfOrder(f"{path}: {m.name} comes after {last[folder]}")
-                                last[folder] = name
-                                yield pd.DataFrame({"path": [f"{path}!{m.name}"], "name": [name], "content": [tar.extractfile(m).read()]})
-                else:
-                    yield pd.DataFrame({"path": [path], "name": [path.rpartition("/")[2]], "content": [content]})
 
-    return run
+def read_dump_stream(spark: SparkSession, path: str, subfolder: str | None = None, ordered: bool = True) -> DataFrame:
+    """The same as a stream: files in the order of their paths, new members of the last archive as they are added."""
+    spark.dataSource.register(DumpSource)
+    return _inside(spark.readStream.format("dumps").option("ordered", ordered).load(path), subfolder)
 
 
-def read_dumps(spark: SparkSession, path: str, subfolder: str | None = None, ordered: bool = False) -> DataFrame:
-    """(path, name, content, bytes) of all .pb files below `path`, loose or in tar archives, alike; those of one subfolder only, if asked.
+def byte_total(spark: SparkSession, path: str, subfolder: str | None = None) -> int:
+    """Bytes of all dumps below `path`, unpacked. Tar archives are asked for their headers only."""
+    spark.dataSource.register(DumpSource)
+    rows = _inside(spark.read.format("dumps").option("content", False).load(path), subfolder)
+    return rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
 
-    Their order is that of `name`, which is the time of day; later steps order by it, not by how files were read. ordered:
-    an archive whose members of a folder aren't in that order is an error.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = files.filter(F.col("path").rlike(r"\.(pb|tar|tar\.gz|tgz)$")).mapInPandas(_members(ordered), "path string, name string, content binary")
-    rows = rows.filter(F.col("name").endswith(".pb"))
-    if subfolder:
-        rows = rows.filter(F.col("path").contains(f"/{subfolder}/") | F.col("path").contains(f"!{subfolder}/"))
-    return rows.withColumn("bytes", F.octet_length("content").cast("long"))
+
+def _inside(rows: DataFrame, subfolder: str | None) -> DataFrame:
+    if not subfolder:
+        return rows
+    return rows.filter(F.col("path").contains(f"/{subfolder}/") | F.col("path").contains(f"!{subfolder}/"))
 
 
 def poll_instant(name: Column, day: Column, tz: str) -> Column:

@@ -5,14 +5,19 @@ All problems of a feed are collected and reported in one error.
 
 from __future__ import annotations
 
+import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.times import parse_date, parse_time
+from headway.operators.state import shared_dir
+from headway.sources.archives import opened
 
 # Fixed values of the format: required columns by file, and optional ones with their defaults.
 REQUIRED = {
@@ -56,23 +61,48 @@ class Feed:
         return ", ".join(f"{name} {df.count()}" for name, df in sorted(self.tables.items()))
 
 
-def unpacked(path: str, staging: str) -> str:
-    """The folder of a feed: `path` itself, or where a zip's text files were put below `staging`."""
-    if not zipfile.is_zipfile(path):
+def unpacked(spark: SparkSession, path: str, staging: str | None = None) -> str:
+    """The folder of a feed: `path` itself, or where a zip's text files were put.
+
+    That is below `staging`, by default in the folder that driver and executors share. A task copies a file of the zip, a
+    piece at a time, so nothing of them goes through the driver, which reads the zip's directory only.
+    """
+    files, at = opened(path)
+    if not files.get_file_info(at).is_file:
         return path
-    with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            if name.endswith(".txt") and not name.startswith("__MACOSX"):
-                to = Path(staging) / Path(name).name
-                to.parent.mkdir(parents=True, exist_ok=True)
-                to.write_bytes(z.read(name))
-    return staging
+    with files.open_input_file(at) as f:
+        if not zipfile.is_zipfile(f):
+            return path
+        f.seek(0)
+        names = [n for n in zipfile.ZipFile(f).namelist() if n.endswith(".txt") and not n.startswith("__MACOSX")]
+    folder = f"{staging or shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, at = opened(path)
+        target, below = opened(folder)
+        for pdf in batches:
+            with source.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                target.create_dir(below, recursive=True)
+                for name in pdf["name"]:
+                    with z.open(name) as member, target.open_output_stream(f"{below}/{name.rpartition('/')[2]}") as out:
+                        while piece := member.read(1 << 20):
+                            out.write(piece)
+            yield pdf
+
+    todo = spark.createDataFrame([(n,) for n in names], "name string")
+    todo.repartition(max(1, len(names)), "name").mapInPandas(copy, "name string").count()
+    return folder
 
 
 def find_files(folder: str) -> dict[str, str]:
     """The feed's files by table name, in the folder or one below."""
-    found = {p.stem: str(p) for p in sorted(Path(folder).glob("*/*.txt"))}
-    return {k: p for k, p in (found | {p.stem: str(p) for p in Path(folder).glob("*.txt")}).items() if k in REQUIRED}
+    files, at = opened(folder)
+    infos = [i for i in files.get_file_info(fs.FileSelector(at, recursive=True)) if i.is_file and i.path.endswith(".txt")]
+    depth = lambda i: i.path.removeprefix(at).strip("/").count("/")
+    near = sorted((i for i in infos if depth(i) <= 1), key=lambda i: (-depth(i), i.path))
+    found = {i.base_name.removesuffix(".txt"): i.path for i in near}  # those of the folder itself come last and win
+    scheme = "" if isinstance(files, fs.LocalFileSystem) else folder[: folder.index(at)]
+    return {k: scheme + p for k, p in found.items() if k in REQUIRED}
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headway.operators.state import checkpointed
@@ -17,10 +18,34 @@ class VerificationError(RuntimeError):
     """What was written isn't what is read."""
 
 
-def write_observations(rows: DataFrame, path: str) -> None:
-    """Replaces the (city, feed_date) partitions that the rows have; others stay."""
+def write_observations(rows: DataFrame, path: str) -> dict:
+    """Replaces the (city, feed_date) partitions that the rows have; others stay. Returns what was counted while writing.
+
+    `rows` is how many were written, `nulls` how many of them break NOT_NULL, `passages` about how many passages they
+    have, `first` and `last` the feed's times. The counts come from the pass that writes, not from a second one.
+    """
+    seen = Observation("written")
+    broken = F.coalesce(F.sum(F.greatest(*(F.col(c).isNull().cast("int") for c in NOT_NULL))), F.lit(0))
+    passages = F.approx_count_distinct(F.struct("service_date", "trip_id", "stop_sequence"))
     rows = rows.select(*OBSERVATIONS).repartition("city", "feed_date", F.pmod(F.xxhash64("trip_id"), F.lit(16)))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), broken.alias("nulls"), passages.alias("passages"), F.min("feed_ts").alias("first"), F.max("feed_ts").alias("last"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("city", "feed_date").parquet(path)
+    return seen.get
+
+
+def consolidate(dumps: DataFrame, to_rows: Callable[[DataFrame], DataFrame], path: str, city: str, day: dt.date) -> dict:
+    """Turns a day's dumps into observations, writes and verifies them; returns dumps, bytes, rows, passages, first and last.
+
+    to_rows makes observations of dumps(name, content, bytes, ...). Dumps and bytes are counted where they are read, rows
+    where they are written, in the one job that does both; the partition is then reread and must have as many rows.
+    """
+    read = Observation("read")
+    counted = to_rows(dumps.observe(read, F.count(F.lit(1)).alias("dumps"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")))
+    written = write_observations(counted, path)
+    if written["nulls"]:
+        raise VerificationError(f"{written['nulls']} rows with nulls in {', '.join(NOT_NULL)}")
+    verify(dumps.sparkSession, path, city, day, written["rows"])
+    return read.get | {k: written[k] for k in ("rows", "passages", "first", "last")}
 
 
 def verify(spark: SparkSession, path: str, city: str, day: dt.date, expected: int) -> None:

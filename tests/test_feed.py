@@ -33,7 +33,7 @@ def test_zip_with_byte_order_marks(spark, tmp_path):
         for name in toy.FILES.keys() - {"calendar"}:
             z.write(f"{folder}/{name}.txt", f"export/{name}.txt")
         z.writestr("__MACOSX/export/stops.txt", "junk")
-    feed = fd.load_feed(spark, fd.unpacked(str(tmp_path / "feed.zip"), str(tmp_path / "staging")), tz="Europe/Lisbon")
+    feed = fd.load_feed(spark, fd.unpacked(spark, str(tmp_path / "feed.zip"), str(tmp_path / "staging")), tz="Europe/Lisbon")
     assert feed.tz == "Europe/Lisbon" and feed.calendar is None
     assert column(feed.trips, "block_id") == {""} and column(feed.routes, "route_long_name") == {""} and feed.stops.count() == 9
 
