@@ -3,8 +3,8 @@
 Per host, tokens (start tags with their path, texts at a path) that share their occurrence vector over the host's pages
 form an equivalence class. Classes that occur on many of the pages and nest within one parent class make the host's
 template. What the template leaves open are slots: the text is taken from the slots within the template's article,
-else from all slots. Only what HTML itself declares to be no main text (nav, aside, hidden ...) is left out besides; a list
-of class and id words is asked where there is no template or the template can't tell. Counts are combined before the
+else from all slots. What HTML itself declares to be no main text (nav, aside, hidden ...) is left out besides, and so is
+what forms hold and what a list of class and id words names, as comments and adverts vary like an article does. Counts are combined before the
 shuffle, and the pages of a host are dealt by (host, salt), with as many salts as the host's size asks for.
 """
 
@@ -222,8 +222,9 @@ def extract(pages: DataFrame, salt_pages: int = SALT_PAGES) -> DataFrame:
 
     Slots anywhere within an article or main element that belongs to the host's template are the text; else those in any
     article or main element; where a page has none, all slots. The host's constant texts are no slots. Within an article,
-    they count as such only if more of the page's texts there differ, as copies of an article may fill a host. There, and
-    on hosts without a template, the text is all but what the word list names. Null html or url: as empty. Repeated rows
+    they count as such only if more of the page's texts there differ, as copies of an article may fill a host. What the
+    word list names (comments, adverts, sidebars, forms) is left out everywhere, within articles too, unless nothing would
+    be left of the slots. Very long pages are read whole. Null html or url: as empty. Repeated rows
     give repeated results. Empty table: no rows. Other columns are ignored.
     """
     pages = hosted(pages)
@@ -245,6 +246,8 @@ def extract(pages: DataFrame, salt_pages: int = SALT_PAGES) -> DataFrame:
     rows = rows.withColumn("blocks", F.when(F.exists("blocks", within), F.filter("blocks", within)).when(F.col("some"), F.filter("blocks", inner)).otherwise(F.col("blocks")))
     rows = rows.withColumn("slots", F.when(has, F.filter("blocks", slot)))
     told = has & (~F.col("some") | (2 * F.size("slots") > F.size("blocks")))
-    kept = F.when(told, F.transform("slots", lambda b: b["text"])).otherwise(F.filter(F.transform("blocks", bare), lambda t: t != ""))
+    # what varies may be a comment, an advert or a form too; a list that would take all names the container of the text
+    named = lambda c: F.filter(F.transform(c, bare), lambda t: t != "")
+    kept = F.when(told & (F.size(named("slots")) == 0), F.transform("slots", lambda b: b["text"])).when(told, named("slots")).otherwise(named("blocks"))
     text = F.concat_ws("\n", kept)
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

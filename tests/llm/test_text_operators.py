@@ -167,18 +167,44 @@ def test_article_of_its_own_within_a_stable_main(spark):
     assert {r.text for r in html_template.extract(df).collect()} == {f"Day {k}\nStory {k}\nBody {k}" for k in range(8)}
 
 
-def test_constants_within_articles_go_and_words_only_guess(spark):
+def test_constants_within_articles_go_and_words_name_the_rest(spark):
     body = "<article><div class=article-header><h1>Story {0}</h1></div><p>One {0}<p>Sign up now<h2 id=search>Search {0}</h2><div class=related>Also {0}</div><p>Two {0} <i class=share>and</i> more</article>"
     pages = [(k, "http://h/x", "<body><div class=banner>Top</div>" + body.format(k) + f"<p>{k}" * (k % 3)) for k in range(8)]
     pages += [(9, "http://alone/x", "<body><div class=banner>Top</div>" + body.format(9))]
     pages += [(10 + k, "http://copies/x", f"<body><p>menu<article><h1>Same</h1><p>Copy<p>of it<div class=share>Tell</div></article><p>{k // 4}") for k in range(5)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_template.extract(df).collect()}
-    assert {k: got[k] for k in range(8)} == {k: f"Story {k}\nOne {k}\nSearch {k}\nAlso {k}\nTwo {k} and more" for k in range(8)}
+    assert {k: got[k] for k in range(8)} == {k: f"Story {k}\nOne {k}\nSearch {k}\nTwo {k} more" for k in range(8)}
     assert got[9] == "Story 9\nOne 9\nSign up now\nSearch 9\nTwo 9 more"
     assert {got[10 + k] for k in range(5)} == {"Same\nCopy\nof it"}
 
 
+#: Layouts in which comments, adverts, sidebars and forms vary from page to page: of the page's number and its body.
+VARYING = (
+    "<body><nav>menu</nav><main><article><h1>Title {0}</h1>{1}</article><section class=comments><p>First reply {0}</p><p>Second reply {0}</p></section></main><footer>f</footer>",
+    "<body><div class=top-nav>menu</div><div class=content><h1>Title {0}</h1>{1}</div><div class=sidebar><p>Side {0}</p></div><div class=comments>Reply {0}</div><div class=ad>Buy {0}</div>",
+    "<body><article><h1>Title {0}</h1>{1}<div class=comments><article class=comment>Reply {0}</article></div><form>Your mail {0}<input></form><div class=advert>Buy {0}</div></article><div>rights</div>",
+    "<body><div class=widget-page><h1>Title {0}</h1>{1}</div><p>rights</p>",
+)
+
+
+@pytest.mark.parametrize("salt_pages", [1000, 3])
+def test_what_varies_besides_the_article_goes(spark, salt_pages):
+    rows, want = [], {}
+    for h, layout in enumerate(VARYING):
+        for k in range(10):
+            body = [f"Part {n} of story {k} at {h}" for n in range(1 + k % 4)]
+            rows.append((100 * h + k, f"http://v{h}.example/{k}", layout.format(k, "".join(f"<p>{x}</p>" for x in body))))
+            want[100 * h + k] = "\n".join([f"Title {k}", *body])
+        # alone on its host
+        rows.append((100 * h + 50, f"http://alone{h}.example/", layout.format(50, "<p>Only this</p>")))
+        if h < 3:
+            want[100 * h + 50] = "Title 50\nOnly this"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(df, salt_pages).collect()}
+    assert {k: got[k] for k in want} == want
+
+
 def generated_pages(seed=5, hosts=4, each=9):
     """Pages whose main text is known: hosts differ in markup, each has menus, notices and adverts of its own, some constant and some not."""
     rng = random.Random(seed)
