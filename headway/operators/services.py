@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.operators.search import first_at_least
+
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -44,24 +46,34 @@ def calendar_control(trips: DataFrame, services: DataFrame) -> DataFrame:
     return marked.agg(F.countDistinct(F.when(F.col("on"), F.col("service_id"))).alias("services"), F.count("*").alias("trips"), F.count("on").alias("active_trips"), F.countDistinct(F.when(F.col("on"), F.col("trip_id"))).alias("distinct_active_trips"))
 
 
-def version_as_of(rows: DataFrame, versions: DataFrame, day: str = "service_date", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with the version in force on its date: of that day, else the latest before, else null.
+def as_of(rows: DataFrame, marks: DataFrame, at: Column, start: Column, keys: tuple[str, ...] = (), width: int = 86400) -> DataFrame:
+    """Each row plus `mark`, a struct of the latest of its keys' marks whose start isn't after `at`, null if there is none. at and start are integers; of marks with one start the greatest counts.
 
-    The few versions become intervals [valid_from, next), so this is a range join on their bounds; of versions of one day
-    the last by name counts.
+    Rows and marks meet by key and slot of `width`: a slot's marks are an ascending array in which a row finds its own by
+    halving, and if all of them start later, it has the last mark of the slots before. So a row meets one slot, however
+    many marks there are.
     """
+    slot = lambda c: F.floor(F.col(c) / width).alias("_slot")
+    asked = rows.withColumn("_at", at.cast("long")).withColumn("_slot", slot("_at"))
+    named = marks.select(*keys, start.cast("long").alias("_start"), F.struct("*").alias("_mark")).filter("_start IS NOT NULL")
+    here = named.select(*keys, slot("_start"), "_start", "_mark").groupBy(*keys, "_slot").agg(F.sort_array(F.collect_list(F.struct("_start", "_mark"))).alias("_here"))
+    every = asked.select(*keys, "_slot").distinct().join(here, [*keys, "_slot"], "full")
+    last = F.last(F.element_at("_here", -1), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))  # a row a slot
+    slots = every.select(*keys, "_slot", F.transform("_here", lambda x: x["_start"]).alias("_starts"), "_here", last["_mark"].alias("_before"))
+    n = F.when(F.col("_starts").isNull(), 0).otherwise(first_at_least(F.col("_starts"), F.col("_at") + 1))
+    found = asked.join(slots, [*keys, "_slot"], "left").withColumn("mark", F.when(n > 0, F.get("_here", n - 1)["_mark"]).otherwise(F.col("_before")))
+    return found.select(*rows.columns, "mark")
+
+
+def version_as_of(rows: DataFrame, versions: DataFrame, day: str = "service_date", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each row with the version in force on its date: of that day, else the latest before, else null; of versions of one day the last by name counts."""
     one = versions.groupBy(*keys, "valid_from").agg(F.max("version").alias("version"))
-    spans = one.withColumn("until", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from")))
-    renamed = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "valid_from", "until", "version")
-    inside = (F.col(day) >= F.col("valid_from")) & (F.col("until").isNull() | (F.col(day) < F.col("until")))
-    for k in keys:
-        inside = inside & (F.col(k) == F.col(f"_{k}"))
-    return rows.join(renamed, inside, "left").drop("until", *(f"_{k}" for k in keys))
+    found = as_of(rows, one, F.unix_date(day), F.unix_date("valid_from"), keys, 365)
+    return found.select(*rows.columns, "mark.valid_from", "mark.version")
 
 
 def version_or_first(rows: DataFrame, versions: DataFrame, at: str = "instant") -> DataFrame:
     """Each row with the latest start up to its instant, else the first start of all."""
-    bounds = versions.agg(F.sort_array(F.collect_set("start")).alias("starts"))  # one row; versions are few
-    before = F.filter("starts", lambda s: s <= F.col(at))
-    start = F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise(F.get("starts", F.lit(0)))
-    return rows.join(F.broadcast(bounds)).withColumn("start", start).drop("starts")
+    first = versions.agg(F.min("start").alias("_first"))  # one row
+    found = as_of(rows, versions.select("start").distinct(), F.col(at), F.col("start"))
+    return found.join(F.broadcast(first)).select(*rows.columns, F.coalesce("mark.start", "_first").alias("start"))

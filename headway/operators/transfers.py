@@ -35,13 +35,25 @@ def _ends(stops: DataFrame, prefix: str) -> DataFrame:
     return stops.select(F.col("stop_id").alias(f"{prefix}_stop_id"), F.col("x_m").alias(f"{prefix}_x"), F.col("y_m").alias(f"{prefix}_y"))
 
 
+#: Stops that a part of a cell or a station holds, about.
+PART = 2048
+
+
+def _met(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """left joined with right on a key; where many of right's rows share one, they are dealt into parts, each of which meets left's rows: a dense key is the work of as many tasks as it has parts."""
+    size = right.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")).filter("_parts > 1")
+    right = right.join(size, [*key], "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*right.columns), F.col("_parts"))).cast("int")).drop("_parts")
+    left = left.join(size, [*key], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*key, "_part"]).drop("_part")
+
+
 def candidates_grid(stops: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(from_stop_id, to_stop_id, d2) of different stops in the same or adjacent cells: one side is repeated for its nine cells, then an equi-join."""
+    """(from_stop_id, to_stop_id, d2) of different stops in the same or adjacent cells: one side is repeated for its nine cells, then an equi-join. Dense cells are dealt into parts by their number of stops."""
     step = lambda: F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
     a = _ends(stops, "from").withColumn("di", step()).withColumn("dj", step())
     a = a.withColumn("i", cell(F.col("from_x"), rules.side) + F.col("di")).withColumn("j", cell(F.col("from_y"), rules.side) + F.col("dj"))
     b = _ends(stops, "to").withColumn("i", cell(F.col("to_x"), rules.side)).withColumn("j", cell(F.col("to_y"), rules.side))
-    pairs = a.join(b, ["i", "j"]).filter("from_stop_id <> to_stop_id")
+    pairs = _met(a, b, "i", "j").filter("from_stop_id <> to_stop_id")
     return pairs.select("from_stop_id", "to_stop_id", distance2(F.col("from_x"), F.col("from_y"), F.col("to_x"), F.col("to_y")).alias("d2"))
 
 
@@ -53,7 +65,7 @@ def walks(stops: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def same_station(stops: DataFrame) -> DataFrame:
     """Ordered pairs of different stops of one station."""
     inside = stops.filter("parent_station IS NOT NULL").select("stop_id", F.col("parent_station").cast("string").alias("p")).filter("p <> ''")
-    return inside.withColumnRenamed("stop_id", "from_stop_id").join(inside.withColumnRenamed("stop_id", "to_stop_id"), "p").filter("from_stop_id <> to_stop_id").select("from_stop_id", "to_stop_id")
+    return _met(inside.withColumnRenamed("stop_id", "from_stop_id"), inside.withColumnRenamed("stop_id", "to_stop_id"), "p").filter("from_stop_id <> to_stop_id").select("from_stop_id", "to_stop_id")
 
 
 def declared_transfers(declared: DataFrame) -> DataFrame:
@@ -134,6 +146,17 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("source").alias("from_stop_id"), F.col("target").alias("to_stop_id"))
 
 
+def fact_counts(stops: DataFrame, stations: DataFrame, serves: DataFrame, declared: DataFrame, lifts_out: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(fact, n): how many facts of each kind the rules are given."""
+    count = lambda df, fact: df.agg(F.count("*").alias("n")).select(F.lit(fact).alias("fact"), "n")
+    cells = stops.select(cell(F.col("x_m"), rules.side), cell(F.col("y_m"), rules.side)).distinct()
+    kinds = {"stop": stops, "coordinates": stops.filter("x_m IS NOT NULL AND y_m IS NOT NULL"), "cell": cells, "station": stops.select("parent_station").filter("parent_station IS NOT NULL").distinct(), "access": accessible_stops(stops, stations), "serves": serves, "declared": declared, "lift": lifts_out}
+    out = None
+    for fact, df in kinds.items():
+        out = count(df, fact) if out is None else out.unionAll(count(df, fact))
+    return out
+
+
 def nearest_stops(stops: DataFrame, x: int, y: int, k: int) -> DataFrame:
     """The k stops nearest to a point, ties by stop_id."""
     return stops.withColumn("d2", distance2(F.col("x_m"), F.col("y_m"), F.lit(x), F.lit(y))).orderBy("d2", "stop_id").limit(k)

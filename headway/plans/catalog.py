@@ -216,6 +216,14 @@ def consolidation_summary(spark, d):
     return con.consolidation_summary(v.observations(spark, d), F.col("delay_s") > 0)
 
 
+@query(f"{_ON_DAY} SELECT trip_id, count(*) AS n, CAST(min(service_date) AS VARCHAR) AS first_date FROM observations WHERE trip_id NOT IN (SELECT trip_id FROM trips WHERE service_id IN (SELECT service_id FROM active)) GROUP BY trip_id", "observations", "trips", "calendar", "calendar_dates")
+def trips_without_schedule(spark, d):
+    """Observed trips that the timetable of a day doesn't have."""
+    runs = ser.active_trips(v.trips(spark, d), ser.active_services(v.calendar(spark, d), v.calendar_dates(spark, d), DAY)).select("trip_id")
+    o = v.observations(spark, d).join(runs, "trip_id", "left_anti")
+    return o.groupBy("trip_id").agg(F.count("*").alias("n"), F.min("service_date").cast("string").alias("first_date"))
+
+
 # Transfers
 
 
@@ -311,6 +319,14 @@ def central_stop(spark, d):
     return tra.central_stop(v.stops(spark, d))
 
 
+@query("""SELECT 'stop' AS fact, count(*) AS n FROM stops UNION ALL SELECT 'coordinates', count(*) FILTER (WHERE x_m IS NOT NULL AND y_m IS NOT NULL) FROM stops UNION ALL SELECT 'cell', count(DISTINCT (floor(x_m / 250.0), floor(y_m / 250.0))) FROM stops
+    UNION ALL SELECT 'station', count(DISTINCT parent_station) FROM stops UNION ALL SELECT 'access', count(*) FROM accessible_stops UNION ALL SELECT 'serves', count(*) FROM serves UNION ALL SELECT 'declared', count(*) FROM declared UNION ALL SELECT 'lift', count(*) FROM lifts_out""", "stops", "accessible_stops", "serves", "declared", "lifts_out")
+def fact_counts(spark, d):
+    """How many facts of each kind the transfer rules are given."""
+    s = v.stops(spark, d)
+    return tra.fact_counts(s, v.stations(spark, d), v.serves(spark, d), v.declared(spark, d), v.lifts_out(spark, d))
+
+
 # Diagnostics
 
 _ROLL = "abs(abs(delay_s * 30) - 86400) <= 3600"

@@ -220,8 +220,8 @@ def probability_method_errors(spark, d):
 @query()
 def robust_choice(spark, d):
     """Of each block's itineraries, the one most likely to arrive in its time and ten minutes."""
-    p = arrival_probability_convolution(spark, d).withColumn("late", F.row_number().over(Window.partitionBy("itinerary_id").orderBy("deadline"))).filter("late = 3")
-    p = p.withColumn("trip_id", F.col("itinerary_id").cast("long")).join(v.trips(spark, d).select("trip_id", "block_id"), "trip_id")
+    rows = _itineraries(spark, d).withColumn("deadline", F.col("scheduled") + F.col("tail_walk_s") + 600)
+    p = rel.arrival_probability(rows, dis.Synthetic(), invented=True).withColumn("trip_id", F.col("itinerary_id").cast("long")).join(v.trips(spark, d).select("trip_id", "block_id"), "trip_id")
     c = p.select(F.col("block_id").alias("query_id"), F.col("trip_id").alias("pos"), F.round("probability", 6).alias("probability"))
     return rel.robust(c)
 

@@ -71,7 +71,7 @@ def unpacked(spark: SparkSession, path: str, staging: str | None = None) -> str:
     if not files.get_file_info(at).is_file:
         return path
     with files.open_input_file(at) as f:
-        if not zipfile.is_zipfile(f):
+        if f.read(4) not in (b"PK\3\4", b"PK\5\6"):  # how a zip begins, with files and without
             return path
         f.seek(0)
         names = [n for n in zipfile.ZipFile(f).namelist() if n.endswith(".txt") and not n.startswith("__MACOSX")]

@@ -102,6 +102,22 @@ def read_polls(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+MANIFEST = "city string, instant long, outcome string, bytes long, path string"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as comma-separated files with a header (MANIFEST); lines that can't be read or have no instant are skipped."""
+    rows = spark.read.schema(MANIFEST).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    return rows.filter("instant IS NOT NULL")
+
+
+def heartbeats(spark: SparkSession, path: str, now: int, most_s: int) -> DataFrame:
+    """(city, instant, silent_s, alive): each city's last sign of life in JSON lines (city, instant), and whether it is no older than most_s. Lines that can't be read are skipped."""
+    rows = spark.read.schema("city string, instant long").option("mode", "DROPMALFORMED").json(path).filter("city IS NOT NULL AND instant IS NOT NULL")
+    last = rows.groupBy("city").agg(F.max("instant").alias("instant")).withColumn("silent_s", F.lit(now) - F.col("instant"))
+    return last.withColumn("alive", F.col("silent_s") <= most_s)
+
+
 def version_index(days: DataFrame) -> DataFrame:
     """(city, valid_from, version): the days on which the timetable's md5 changed, from (city, day, md5)."""
     before = F.lag("md5").over(Window.partitionBy("city").orderBy("day"))

@@ -88,7 +88,7 @@ class _Silence(StatefulProcessor):
         yield self._rows(key, [self.last.get()[0]], [None])
 
     def _rows(self, key, starts, ends) -> pd.DataFrame:
-        out = pd.DataFrame({name: [k] * len(starts) for name, k in zip(self.names, key)})
+        out = pd.DataFrame({name: pd.Series([k] * len(starts), dtype=object) for name, k in zip(self.names, key)})
         out["gap_start"] = pd.array([int(x) for x in starts], "Int64")
         out["gap_end"] = pd.array([None if x is None else int(x) for x in ends], "Int64")
         out["gap_s"] = out["gap_end"] - out["gap_start"]

@@ -98,3 +98,18 @@ def test_versions_in_force(spark):
     rows = [("north", dt.date(2027, 1, 31)), ("north", dt.date(2027, 2, 1)), ("north", dt.date(2027, 3, 31)), ("north", dt.date(2028, 1, 1)), ("south", dt.date(2027, 2, 28)), ("south", dt.date(2027, 3, 2))]
     got = services.version_as_of(spark.createDataFrame(rows, "city string, service_date date"), versions, keys=("city",)).collect()
     assert {(r.city, r.service_date): r.version for r in got} == dict(zip(rows, [None, "n2", "n2", "n3", None, "s1"]))
+
+
+def test_zip_is_unpacked_by_tasks(spark, tmp_path):
+    """Files come from the zip or a folder in it; those of the outer folder win; other files stay."""
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("inner/stops.txt", "inner")
+        z.writestr("inner/agency.txt", "a" * 3_000_000)
+        z.writestr("__MACOSX/stops.txt", "junk")
+        z.writestr("readme.md", "text")
+    folder = fd.unpacked(spark, str(tmp_path / "f.zip"))
+    found = fd.find_files(folder)
+    assert set(found) == {"stops", "agency"} and open(found["agency"]).read() == "a" * 3_000_000
+    assert fd.unpacked(spark, str(tmp_path)) == str(tmp_path)
+    (tmp_path / "no.zip").write_text("not a zip")
+    assert fd.unpacked(spark, str(tmp_path / "no.zip")) == str(tmp_path / "no.zip")

@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from headway.operators import diagnostics, graphs, network, quantiles
+from headway.operators import diagnostics, graphs, network, quantiles, services
 
 
 def plain_reach(seeds, edges):
@@ -117,3 +118,15 @@ def test_recoveries(spark, monkeypatch, k, slot):
     df = spark.createDataFrame(times, "trip_id int, seq int, stop_id string, arrival long, departure long")
     got = network.recoveries(df, spark.createDataFrame(trips, "trip_id int, route_id string"), spark.createDataFrame(legs, "leg_id int, route_id string, board_stop string, alight_stop string, departure long"), k).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("width", [10, 10**6])
+def test_as_of(spark, width):
+    rng = random.Random(width)
+    marks = [(k, rng.randint(-50, 200), f"m{n}") for n, k in enumerate(rng.choice("ab") for _ in range(40))] + [("a", 7, "tie"), ("a", 7, "tie2")]
+    rows = [(n, rng.choice("abc"), rng.randint(-60, 260)) for n in range(150)]
+    got = services.as_of(spark.createDataFrame(rows, "n int, k string, at int"), spark.createDataFrame(marks, "k string, start int, name string"), F.col("at"), F.col("start"), ("k",), width).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [(s, name) for k, s, name in marks if k == r.k and s <= r["at"]]
+        assert (r.mark and (r.mark.start, r.mark.name)) == (max(before) if before else None)

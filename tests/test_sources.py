@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,144 @@ def test_poll_counts_by_hour(spark):
     rows = [(dt.datetime(2027, 5, 1, 8, 5), "o", "saved"), (dt.datetime(2027, 5, 1, 8, 59), "o", "failed"), (dt.datetime(2027, 5, 1, 9, 0), "o", "duplicate")]
     got = realtime.poll_summary(spark.createDataFrame(rows, "ts timestamp, city string, outcome string"), "ts", "city").orderBy("window.start").collect()
     assert [(r.window.start.hour, r.saved, r.duplicate, r.failed, r.polls) for r in got] == [(8, 1, 0, 1, 2), (9, 0, 1, 0, 1)]
+
+
+# The data source of dumps
+
+
+def tar_of(path, names, size=10, mode="w"):
+    with tarfile.open(path, mode) as tar:
+        for k, n in enumerate(names):
+            info = tarfile.TarInfo(n)
+            info.size = size
+            tar.addfile(info, io.BytesIO(bytes([k % 256]) * size))
+
+
+def test_an_archive_is_read_by_several_tasks(spark, tmp_path):
+    names = [f"f/{h:02d}{m:02d}00.pb" for h in range(10) for m in range(60)] + ["f/notes.txt"]
+    tar_of(tmp_path / "day.tar", names, 300_000)
+    (tmp_path / "loose.pb").write_bytes(b"loose")
+    rows = dp.read_dumps(spark, str(tmp_path), ordered=True)
+    assert rows.rdd.getNumPartitions() >= 3
+    got = rows.select("path", "name", "bytes", F.expr("substring(content, 1, 1)").alias("first"), F.octet_length("content").alias("n")).collect()
+    assert len(got) == 601 and all(r.bytes == r.n for r in got)
+    by_path = {r.path.rpartition("/")[2] if "!" not in r.path else r.path.rpartition("!")[2]: r for r in got}
+    assert all(by_path[n].first == bytes([k % 256]) for k, n in enumerate(names[:600])) and by_path["loose.pb"].name == "loose.pb"
+    assert dp.byte_total(spark, str(tmp_path)) == 600 * 300_000 + 5 and dp.byte_total(spark, str(tmp_path), "f") == 600 * 300_000
+    with pytest.raises(Exception, match="no such place"):
+        dp.read_dumps(spark, str(tmp_path / "no such place")).count()
+
+
+def test_compressed_archives_and_empty_folders(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert dp.read_dumps(spark, str(tmp_path / "none")).count() == 0 and dp.byte_total(spark, str(tmp_path / "none")) == 0
+    tar_of(tmp_path / "a.tar.gz", ["x/070000.pb", "x/070100.pb"], mode="w:gz")
+    tar_of(tmp_path / "b.tgz", ["x/080100.pb", "x/080000.pb"], mode="w:gz")
+    assert sorted(r.name for r in dp.read_dumps(spark, str(tmp_path)).collect()) == ["070000.pb", "070100.pb", "080000.pb", "080100.pb"]
+    with pytest.raises(Exception, match="comes after 080100"):
+        dp.read_dumps(spark, str(tmp_path), ordered=True).collect()
+
+
+def test_dumps_as_a_stream(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        realtime.run_available(dp.read_dump_stream(spark, str(folder)).select("path", "name", "bytes"), out, state)
+        return sorted(r.name for r in spark.read.parquet(out).collect())
+
+    tar_of(folder / "2027-05-01.tar", ["f/070000.pb", "f/070100.pb"])
+    assert run() == ["070000.pb", "070100.pb"]
+    # members that are added to the last archive, and a new one; nothing comes twice
+    tar_of(folder / "2027-05-01.tar", ["f/070000.pb", "f/070100.pb", "f/070200.pb"])
+    tar_of(folder / "2027-05-02.tar", ["f/060000.pb"])
+    assert run() == ["060000.pb", "070000.pb", "070100.pb", "070200.pb"] == run()
+    tar_of(folder / "2027-04-30.tar", ["f/050000.pb"])
+    tar_of(folder / "2027-05-03.tar", ["f/050000.pb"])
+    with pytest.raises(Exception, match="have been read"):
+        run()
+
+
+def test_counts_come_from_the_write(spark, tmp_path):
+    path, day = str(tmp_path / "obs"), dt.date(2027, 5, 1)
+    tar_of(tmp_path / "day.tar", ["f/070000.pb", "f/070100.pb", "f/070200.pb"], 7)
+    kinds = {"feed_date": "date", "service_date": "date", "stop_sequence": "int", "scheduled": "long", "observed": "long", "delay_s": "int", "feed_ts": "long", "poll_ts": "long"}
+
+    def to_rows(dumps):
+        values = {"city": F.lit("o"), "feed_date": F.lit(day), "service_date": F.lit(day), "trip_id": F.lit("t"), "stop_sequence": F.lit(1), "observed": F.lit(5), "feed_ts": F.substring("name", 1, 6).cast("long")}
+        rows = dumps.select(*(values.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in sinks.OBSERVATIONS))
+        return rows.crossJoin(spark.range(2).select(F.lit(None).alias("twice"))).drop("twice")
+
+    got = sinks.consolidate(dp.read_dumps(spark, str(tmp_path)), to_rows, path, "o", day)
+    assert got == {"dumps": 3, "bytes": 21, "rows": 6, "passages": 1, "first": 70000, "last": 70200}
+    with pytest.raises(sinks.VerificationError, match="nulls in"):
+        sinks.consolidate(dp.read_dumps(spark, str(tmp_path)), lambda d: to_rows(d).withColumn("observed", F.lit(None).cast("long")), path, "o", day)
+
+
+# Streams that watch
+
+
+def test_open_gaps_are_reported_without_a_success(spark, tmp_path):
+    schema, folder, out = "city string, day int, instant long", tmp_path / "in", str(tmp_path / "out")
+    write = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def start():
+        stream = realtime.gap_alarms(spark.readStream.schema(schema).parquet(str(folder)), ("city", "day"), "instant", 2)
+        return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+
+    def seen(query, least):
+        for _ in range(60):
+            time.sleep(0.5)
+            if query.exception() is not None:
+                raise query.exception()
+            rows = {tuple(r) for r in spark.read.schema("city string, day int, gap_start long, gap_end long, gap_s long").parquet(out).collect()} if (tmp_path / "out").is_dir() else set()
+            if len(rows) >= least:
+                return rows
+        return rows
+
+    write(("o", 1, 100), ("o", 1, 101), ("o", 1, 110), ("p", 1, 100))
+    query = start()
+    try:
+        open_ = {("o", 1, 110, None, None), ("p", 1, 100, None, None)}
+        assert seen(query, 3) == {("o", 1, 101, 110, 9)} | open_
+    finally:
+        query.stop()
+    # another success ends the gap, after a restart; an old one ends none; the next day is a key of its own
+    write(("o", 1, 150), ("p", 1, 90), ("o", 2, 1000))
+    query = start()
+    try:
+        got = seen(query, 6)
+        assert got >= {("o", 1, 101, 110, 9), ("o", 1, 110, 150, 40), *open_, ("o", 1, 150, None, None), ("o", 2, 1000, None, None)} and not any(r[2] == 90 for r in got)
+    finally:
+        query.stop()
+
+
+def test_versions_are_checked_once_a_batch(spark, tmp_path):
+    path, answers = str(tmp_path / "checks"), {("o", 1): "aa", ("o", 2): "aa", ("o", 3): None, ("o", 4): "bb", ("o", 5): "aa", ("p", 3): "aa"}
+
+    def fetch(asked):
+        known = spark.createDataFrame([(*k, m) for k, m in answers.items()], "city string, instant long, md5 string")
+        return asked.join(known, ["city", "instant"], "left")
+
+    job = realtime.version_job(path, fetch)
+    ticks = lambda *rows: spark.createDataFrame(list(rows), "city string, instant long")
+    found = lambda: {(r.batch, r.city, r.instant): (r.outcome, r.file, r.attempts) for r in realtime.version_checks(spark, path).collect()}
+    job(ticks(("o", 1), ("o", 2)), 0)
+    job(ticks(("o", 3), ("p", 3)), 1)
+    before = found()
+    assert before == {(0, "o", 1): ("new", "o/aa.zip", 1), (0, "o", 2): ("unchanged", "o/aa.zip", 1), (1, "o", 3): ("failed", None, 1), (1, "p", 3): ("new", "p/aa.zip", 1)}
+    job(ticks(("o", 3), ("p", 3)), 1)
+    assert found() == before  # a batch that is run again changes nothing
+    answers["o", 3] = "bb"
+    job(ticks(("o", 4), ("o", 5)), 2)  # asks for what failed again
+    assert {k: v for k, v in found().items() if k[0] == 2} == {(2, "o", 3): ("new", "o/bb.zip", 2), (2, "o", 4): ("unchanged", "o/bb.zip", 1), (2, "o", 5): ("known", "o/aa.zip", 1)}
+    job(ticks(), 3)
+    assert len(found()) == 7
+
+
+def test_manifest_and_heartbeats(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.csv").write_text("city,instant,outcome,bytes,path\no,100,saved,7,x.pb\no,soon,saved,7,x.pb\np,200,failed,,\n")
+    assert sorted(map(tuple, sinks.read_manifest(spark, str(tmp_path / "m")).collect())) == [("o", 100, "saved", 7, "x.pb"), ("p", 200, "failed", None, None)]
+    (tmp_path / "h.json").write_text('{"city": "o", "instant": 100}\n{"city": "o", "instant": 160}\nhalf a li\n{"city": "p", "instant": 40}\n')
+    assert sorted(map(tuple, sinks.heartbeats(spark, str(tmp_path / "h.json"), 200, 60).collect())) == [("o", 160, 40, True), ("p", 40, 160, False)]

@@ -108,3 +108,15 @@ def test_projection_and_bands(spark):
     assert (x0, y0) == (-x1, -y1) and abs(x1 - 111) <= 1 and abs(y1 - 111) <= 1
     bands = spark.createDataFrame([(50**2,), (50**2 + 1,), (200**2,), (250**2,), (250**2 + 1,)], "d long").select(geo.walk_seconds(F.col("d")).alias("s"))
     assert [r.s for r in bands.collect()] == [60, 120, 180, 240, None]
+
+
+def test_dense_cells_and_stations_are_dealt(spark, monkeypatch):
+    """All stops in one cell and one station: the same pairs, in parts of a few stops each."""
+    monkeypatch.setattr(tr, "PART", 6)
+    rows = [(f"s{k}", k * 7 % 240, k * 11 % 240, "one") for k in range(40)] + [("far", 5000, 0, "one"), ("near", 245, 255, None)]
+    stops = spark.createDataFrame(rows, "stop_id string, x_m int, y_m int, parent_station string")
+    got = [(r.from_stop_id, r.to_stop_id, r.d2) for r in tr.candidates_grid(stops).collect()]
+    want = {(a, b, (x - u) ** 2 + (y - w) ** 2) for a, x, y, _ in rows for b, u, w, _ in rows if a != b and "far" not in (a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
+    same = [(r.from_stop_id, r.to_stop_id) for r in tr.same_station(stops).collect()]
+    assert len(same) == len(set(same)) == 41 * 40
