@@ -8,7 +8,7 @@ from headway.plans import catalog, itineraries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 #: Queries that find nothing on these smallest tables; on larger ones they do.
-EMPTY = set("accessible_transfers block_successors candidate_pairs_grid integrity_violations lift_outage_difference same_station_pairs trips_past_midnight walking_bands".split())
+EMPTY = set("accessible_transfers block_successors candidate_pairs_grid integrity_violations lift_outage_difference same_station_pairs trips_past_midnight useful_transfers walking_bands".split())
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
