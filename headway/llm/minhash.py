@@ -1,9 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's set of word shingles gives a signature of POSITIONS minima, BITS bits each. Sets of Jaccard similarity 0.85
-differ in 15 % of the positions on average. Signatures are cut into CHUNKS chunks: two that differ in DISTANCE positions
-or fewer differ in at most DISTANCE // CHUNKS = 1 position of some chunk (pigeonhole), so each chunk is looked up once
-for each of its positions left out, and all such pairs share a key. Links are confirmed on the full sets.
+differ in 15 % of the positions on average. Signatures are cut into chunks: two that differ in fewer than twice as many
+positions as there are chunks differ in at most one position of some chunk (pigeonhole), so each chunk is looked up once
+for each of its positions left out, and all such pairs share a key. The threshold says how many chunks it takes. Links are
+confirmed on the full sets. Sets that are alike may still have signatures further apart, however seldom; `exact` adds keys
+that any link shares (its sets' least shingles in one order of all), so that none is lost.
 
 Copies (equal sets) are one vertex. Pairs of a bucket are never emitted: first every member is paired with the bucket's
 most central member only. After those links, pairs are left only between different components of a bucket, so members
@@ -28,9 +30,10 @@ from headway.llm.words import lowered, mixed, window_hashes, word_hashes, word_s
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: The signature and its chunks; pairs within DISTANCE share a key for certain. At similarity 0.85 a pair differs in more
-#: positions with a probability of 9e-6, and even then most share a key.
-POSITIONS, BITS, CHUNKS, DISTANCE = 64, 8, 12, 23
+#: The signature. Keys are of whole positions; distances are counted on their low bytes, so they are never too large.
+POSITIONS, BITS = 64, 16
+#: Pairs at the threshold differ in more positions than chunks allow for with at most this probability.
+LOSS = 1e-6
 #: Members of a bucket whose signatures are compared in one group, members of a home, and askers in one group with it.
 TILE, HOME, ASKERS = 2048, 256, 512
 
@@ -45,6 +48,14 @@ def limit_for(percent: int, loss: float = 1e-8) -> int:
     return 0
 
 
+def chunks_for(percent: int, loss: float = LOSS) -> int:
+    """So many chunks that pairs within `limit_for(percent, loss)` positions differ in one position of some chunk at most.
+
+    Chunks of two positions are the least; thresholds so low that they'd need smaller ones need `exact`.
+    """
+    return min(limit_for(percent, loss) // 2 + 1, POSITIONS // 2)
+
+
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The texts' sets as sorted distinct 64-bit hashes, one after another, and where each begins (with a last entry)."""
     data, starts, ends, first = word_spans([lowered(x.encode()) if x else b"" for x in texts])
@@ -58,7 +69,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
 
 def signatures(hashes: np.ndarray, first: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
     """(sets, positions) of BITS bits: by position, the minimum of a seeded rehash of the set. Sets must not be empty."""
-    out = np.zeros((len(first) - 1, positions), np.uint8)
+    out = np.zeros((len(first) - 1, positions), np.uint16)
     rng = np.random.default_rng(12345)
     factors = rng.integers(1, 1 << 63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     adds = rng.integers(0, 1 << 63, positions, dtype=np.uint64)
@@ -70,7 +81,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, positions: int = POSITIONS
     return out
 
 
-def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(sets, keys): for each chunk and each of its positions, a hash of the chunk without that position."""
     bounds = np.linspace(0, sig.shape[1], chunks + 1).astype(int)
     wide, keys = sig.astype(np.uint64) + np.uint64(1), []
@@ -84,8 +95,17 @@ def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def _sets(docs: DataFrame, full: bool) -> DataFrame:
-    """doc_id with n_shingles, hash (of the set; null if empty) and sig; or, if full, with the set's bytes."""
+def prefix(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The least of a sorted set's hashes, as many as leave fewer than a link needs: two linked sets share one of these.
+
+    A link has percent / 100 of the larger set in common. Of what two sets share, the least is outside of one's prefix
+    only if so much of that set isn't shared that the link fails.
+    """
+    return hashes[: len(hashes) - -(-len(hashes) * percent // 100) + 1]
+
+
+def _sets(docs: DataFrame, full: bool, percent: int | None = None) -> DataFrame:
+    """doc_id with n_shingles, hash (of the set; null if empty), sig and, if a percentage is given, prefix; or, if full, with the set's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -102,19 +122,29 @@ def _sets(docs: DataFrame, full: bool) -> DataFrame:
                 sig: list[bytes | None] = [None] * len(n)
                 for i, s in zip(some, signatures(hashes, np.append(first[:-1][some], len(hashes)))):
                     sig[i] = s.tobytes()
+                least = [prefix(hashes[a:b], percent).view(np.int64) if percent else None for a, b in zip(first[:-1], first[1:])]
                 digests = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in raw]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "hash": pa.array(digests, pa.binary()), "sig": pa.array(sig, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "hash": pa.array(digests, pa.binary()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(least, pa.list_(pa.int64()))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, set binary" if full else "doc_id long, n_shingles long, hash binary, sig binary, prefix array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, set binary" if full else "doc_id long, n_shingles long, hash binary, sig binary")
+
+def _keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = chunk_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1), chunks)
+                ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
+                for at in range(0, len(ids), 1 << 18):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()[at : at + (1 << 18)].view(np.int64)), "id": pa.array(ids[at : at + (1 << 18)])})
+
+    return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys = chunk_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
-            for at in range(0, len(ids), 1 << 18):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()[at : at + (1 << 18)].view(np.int64)), "id": pa.array(ids[at : at + (1 << 18)])})
+        low = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.uint8).tobytes() for x in batch.column("sig")]
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": batch.column("n"), "sig": pa.array(low, pa.binary())})
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -224,25 +254,29 @@ def _joining(percent: int):
     return run
 
 
-def link(docs: DataFrame, percent: int = PERCENT, limit: int | None = None) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT, limit: int | None = None, exact: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (least doc_id of those linked with it, directly or over others), kept (it is that document).
 
-    Documents are linked if 100 * intersection >= percent * union. Of the pairs that share a key, those beyond `limit`
-    positions aren't confirmed on their sets: by default `limit_for(percent)`, 1e-8 of the links; POSITIONS confirms all.
+    Documents are linked if 100 * intersection >= percent * union. A link shares no key with a probability of LOSS at
+    most. Of the pairs that share a key, those beyond `limit` positions aren't confirmed on their sets: by default
+    `limit_for(percent)`, 1e-8 of the links; POSITIONS confirms all. If `exact`, all links share a key and all pairs that
+    do are confirmed, at the price of (100 - percent) hundredths of the shingles as further keys.
 
     Null and empty texts, and texts without words, have 0 shingles and are linked with nothing. Rows of the same doc_id
     count as one document. Rows without doc_id keep a null component and aren't kept, unless their text equals that of
     another. Empty table: no rows. Other columns are ignored.
     """
-    sets = stored(_sets(docs, False), "shingle-sets")
-    vertices = stored(sets.filter("hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "vertices")
-    keys = stored(vertices.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
+    limit = POSITIONS if exact else limit_for(percent) if limit is None else limit
+    sets = stored(_sets(docs, False, percent if exact else None), "shingle-sets")
+    vertices = stored(sets.filter("hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")), "vertices")
+    keys = vertices.select("id", "sig").mapInArrow(_keys(chunks_for(percent)), "key long, id long")
+    keys = stored(keys.union(vertices.select(F.explode("prefix"), "id")) if exact else keys, "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(keys.join(sizes, "key"), "buckets")
     central = members.groupBy("id").agg(F.sum("size").alias("central"))
     ranked = members.join(central, "id")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("leader"))
-    slim = vertices.select("id", "n", "sig")
+    slim = vertices.select("id", "n", "sig").mapInArrow(_low_bytes, "id long, n long, sig binary")
     star = members.join(leaders, "key").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     star = star.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     star = star.filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).select("a", "b")
@@ -266,7 +300,7 @@ def link(docs: DataFrame, percent: int = PERCENT, limit: int | None = None) -> D
     hosts = held.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place(F.col("columns")).alias("column"))
     # dealt by count, not by bytes: these rows are few, and each costs much time
     tiled = askers.unionAll(hosts).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "row", "column")
-    asks = tiled.groupBy("key", "row", "column").applyInArrow(_asked(limit_for(percent) if limit is None else limit, percent), "id long, homes array<long>")
+    asks = tiled.groupBy("key", "row", "column").applyInArrow(_asked(limit, percent), "id long, homes array<long>")
     asks = asks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes")).select("id", F.explode("homes").alias("home"))
     asks = stored(asks.join(homes.select("id", "component"), "id"), "asks")
     groups = asks.groupBy("home").agg(F.ceil(F.count("*") / ASKERS).alias("groups"))

@@ -79,14 +79,42 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.link(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
-def test_chunks_share_a_key():
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_chunks_share_a_key(percent):
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, (1, minhash.POSITIONS)).astype(np.uint8)
+    chunks, far = minhash.chunks_for(percent), minhash.limit_for(percent, minhash.LOSS)
+    assert far < 2 * chunks
+    a = rng.integers(0, 1 << 16, (1, minhash.POSITIONS)).astype(np.uint16)
     for _ in range(200):
         b = a.copy()
-        at = rng.choice(minhash.POSITIONS, minhash.DISTANCE, replace=False)
-        b[0, at] ^= 1
-        assert np.isin(minhash.chunk_keys(a), minhash.chunk_keys(b)).any()
+        at = rng.choice(minhash.POSITIONS, far, replace=False)
+        b[0, at] ^= 256
+        assert np.isin(minhash.chunk_keys(a, chunks), minhash.chunk_keys(b, chunks)).any()
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_links_share_a_prefix(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        n, both = int(rng.integers(1, 60)), 0
+        pool = rng.choice(1 << 40, 2 * n, replace=False).astype(np.uint64)
+        a, b = (np.sort(pool[rng.random(2 * n) < p]) for p in (0.9, rng.choice((0.5, 0.9, 1.0))))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            assert np.isin(minhash.prefix(a, percent), minhash.prefix(b, percent)).any()
+
+
+def test_exact_finds_links_that_share_no_chunk(spark, monkeypatch):
+    t = [f"w{k}" for k in range(304)]
+    docs = [(k, " ".join(["x" if i in (20 + k, 100 + 3 * k, 200 + 7 * k) else w for i, w in enumerate(t)])) for k in range(12)]
+    docs += [(50 + k, f"other words {k} stand here alone") for k in range(3)]
+    whole = [0] * 12 + [50, 51, 52]
+    ids = lambda **more: [r.component_id for r in minhash.link(frame(spark, docs), percent=80, **more).orderBy("doc_id").collect()]
+    assert ids() == whole
+    # chunks of 32 positions allow for one error each, and most of these texts differ in more
+    monkeypatch.setattr(minhash, "chunks_for", lambda percent: 2)
+    assert len(set(ids())) > 6
+    assert ids(exact=True) == whole
 
 
 def test_components(spark):
