@@ -12,18 +12,18 @@ from headway.llm.common import table
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each document that a smaller doc_id has in a string of 50; null and empty texts have none, repeated rows one result each. An empty table gives no rows."""
+    """Bytes of each document that a smaller doc_id has in a string of 50; null and empty texts have none, repeated rows one result each. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     rows = suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest of every twentieth vector by inner product; null, zero and odd vectors take no part, ties go to the smaller id. An empty table gives no rows."""
+    """The 20 nearest of every twentieth vector by inner product; null, zero and odd vectors take no part, ties go to the smaller id. An empty table gives no rows. Other columns are ignored."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again; null and empty texts have no tokens, repeated rows one result each. An empty table gives no rows."""
+    """Every text encoded and decoded again; null and empty texts have no tokens, repeated rows one result each. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     vocabulary = bpe.default_vocabulary()
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).drop("text"), *vocabulary)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -31,39 +31,39 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents alike to 85 hundredths; those without words are alone, rows of one doc_id are one document. An empty table gives no rows."""
+    """Components of documents alike to 85 hundredths; those without words are alone, rows of one doc_id are one document. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     return minhash.link(table(spark, sf_dir, "documents"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text; null html gives an empty one, repeated rows one result each. An empty table gives no rows."""
+    """Every page's main text; null html gives an empty one, repeated rows one result each. An empty table gives no rows. Very long pages are read whole; other columns are ignored."""
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written as a record and read back; null html is an empty payload. intact: framing and digests held on reading. An empty table gives no rows."""
+    """Every page written as a record and read back; null html is an empty payload. intact: framing and digests held on reading. An empty table gives no rows. Very long pages are stored whole; other columns are ignored."""
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language; `und` without a letter, repeated rows are judged alike. An empty table gives no rows."""
+    """Every document's language; `und` without a letter, repeated rows are judged alike. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that a smaller doc_id has in a window of 13; null and empty texts have none, repeated rows one result each. An empty table gives no rows."""
+    """Words of each document that a smaller doc_id has in a window of 13; null and empty texts have none, repeated rows one result each. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     rows = substring_index.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; null texts have size 0, a null source is one of its own. An empty table gives no rows."""
+    """What the mix takes of each document; null texts have size 0, a null source is one of its own. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an MPEG stream, read back; a null text is an empty one, equal texts give equal values. An empty table gives no rows."""
+    """Every text as an MPEG stream, read back; a null text is an empty one, equal texts give equal values. An empty table gives no rows. Very long texts are read whole; other columns are ignored."""
     media = mpeg_audio.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = mpeg_audio.features(media, ["doc_id", "n_bytes"])
     offsets = F.concat_ws(",", F.col("offsets").cast("array<string>"))
