@@ -71,7 +71,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows' tokens in place of their texts: a row for each row. Null and empty texts have no tokens. An empty table gives no rows."""
+    """The rows' tokens in place of their texts: a row for each row, repeated ones too.
+
+    Null and empty texts have no tokens; very long ones are encoded whole. An empty table gives no rows; columns beside
+    those of documents are left out.
+    """
     rows = bpe.encode(docs.select("doc_id", "text", "lang", "source"), *bpe.default_vocabulary())
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
