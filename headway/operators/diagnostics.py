@@ -188,6 +188,18 @@ def negative_medians(by_hour: DataFrame, *keys: str) -> DataFrame:
     return by_hour.groupBy(*keys).agg(F.count("*").alias("hours"), F.coalesce(F.sum(F.when(F.col("median") < 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("negative"))
 
 
+def absent_trips(rows: DataFrame, timetable: DataFrame, *keys: str) -> DataFrame:
+    """(keys, trips, absent, absent_share): of the trips with rows that have no scheduled time, those that the timetable of their keys lacks; it lacks but a stop of the others.
+
+    rows: keys, trip_id, scheduled. timetable: keys, trip_id, repeated rows count once. Null keys are in no timetable.
+    """
+    on = [*keys, "trip_id"]
+    known = timetable.select(*on).distinct().withColumn("_known", F.lit(1))
+    missing = rows.filter("scheduled IS NULL").select(*on).distinct().join(known, on, "left")
+    out = missing.groupBy(*keys).agg(F.count("*").alias("trips"), (F.count("*") - F.count("_known")).alias("absent"))
+    return out.withColumn("absent_share", rounded(F.col("absent") / F.col("trips")))
+
+
 def examples(rows: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows in an order, for a report."""
     return rows.orderBy(*order).limit(n)

@@ -186,6 +186,21 @@ def missing_schedule(spark, d):
     return j.agg(F.count("*").alias("n"), F.count(F.when(none, 1)).alias("missing"), F.countDistinct(F.when(none, F.col("trip_id"))).alias("missing_trips"), F.count(F.when(none, F.col("delay_s"))).alias("missing_with_delay")).withColumn("missing_median", F.round(F.lit(median).cast("double"), 6))
 
 
+_ABSENT = """, known AS (SELECT DISTINCT trip_id, service_date, 1 AS known FROM trips t JOIN active a ON a.service_id = t.service_id AND a.day = t.service_date),
+    lacking AS (SELECT DISTINCT j.trip_id, service_date FROM joined j LEFT JOIN trips t ON t.trip_id = j.trip_id WHERE scheduled IS NULL)"""
+
+
+@query(f"{_DAYS} {_SCHEDULE} {_PREDICT} {_ABSENT} SELECT CAST(l.service_date AS VARCHAR) AS day, count(*) AS trips, count(*) - count(known) AS absent, round((count(*) - count(known)) / count(*), 6) AS absent_share FROM lacking l LEFT JOIN known k ON k.trip_id = l.trip_id AND k.service_date = l.service_date GROUP BY l.service_date", "stop_times", "trips", "calendar", "calendar_dates")
+def absent_trips(spark, d):
+    """By service day, the trips with predictions that meet no scheduled time, and those of them that don't run that day by the timetable."""
+    t = v.trips(spark, d)
+    days = t.select("trip_id", F.col("service_date").alias("day"), "service_id")
+    active = ser.services_by_day(v.calendar(spark, d), v.calendar_dates(spark, d), days.select("day").distinct())
+    rows = _joined(spark, d).join(days.select("trip_id", "day"), "trip_id", "left")
+    out = dia.absent_trips(rows, days.join(active, ["day", "service_id"]), "day")
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 KEY = ("trip_id", "stop_sequence")
 
 

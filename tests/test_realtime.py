@@ -124,3 +124,12 @@ def test_version_index_and_md5(spark):
     got = [(r.valid_from, r.version) for r in sinks.version_index(spark.createDataFrame(rows, "city string, day int, md5 string")).orderBy("valid_from").collect()]
     assert got == [(0, "a"), (2, "b"), (4, "a")]
     assert spark.createDataFrame([("D41D8CD98F00B204E9800998ECF8427E  f.zip",)], "t string").select(sinks.md5_of_file(F.col("t")).alias("m")).first().m == "d41d8cd98f00b204e9800998ecf8427e"
+
+
+def test_trips_the_timetable_lacks(spark):
+    rows = [("d1", 1, None), ("d1", 1, None), ("d1", 2, None), ("d1", 3, 60), ("d2", 2, None), (None, 4, None)]
+    timetable = [("d1", 1), ("d1", 1), ("d1", 3), ("d2", 1), (None, 4)]
+    rows, timetable = spark.createDataFrame(rows, "day string, trip_id int, scheduled int"), spark.createDataFrame(timetable, "day string, trip_id int")
+    got = {r.day: (r.trips, r.absent, r.absent_share) for r in dia.absent_trips(rows, timetable, "day").collect()}
+    assert got == {"d1": (2, 1, 0.5), "d2": (1, 1, 1.0), None: (1, 1, 1.0)}
+    assert dia.absent_trips(rows.limit(0), timetable, "day").count() == 0
