@@ -244,6 +244,17 @@ def test_repeated_bytes(spark, rows, monkeypatch, small):
     assert got == brute_bytes(rows) and sum(x[1] for x in got.values()) > 3000
 
 
+def test_what_only_copies_share_is_sifted_out(spark):
+    """Stretches of three copies are the first document's alone, so nothing is left to sort; hashes come back by parts of the documents, not by document."""
+    t = "".join(random.Random(5).choices("abcdefgh ", k=4000))
+    texts = spark.createDataFrame([(i, 1, t) for i in range(3)], "doc_id long, key long, text string")
+    _, owners, _ = suffix_array._sifted(texts, suffix_array.GRAM, suffix_array.CUT, "texts")
+    held = owners.selectExpr("owner AS doc_id", "digest AS key", "bytes AS text")
+    assert {r.owner for r in owners.collect()} == {0} and suffix_array._sifted(held, suffix_array.SECOND, suffix_array.SECOND_CUT, "held")[1].count() == 0
+    entry = suffix_array._rows([(0, "shared", suffix_array.packed(np.zeros(900), True), suffix_array.packed(np.arange(900)))], suffix_array._HASHES_ARROW)
+    assert sum(b.num_rows for b in suffix_array._by_part(7)(iter(entry.to_batches()))) == 7
+
+
 def test_suffix_order():
     rng = random.Random(3)
     raw = "".join(rng.choice("ab") for _ in range(300)).encode()
