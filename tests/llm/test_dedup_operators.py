@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,38 @@ def test_suffix_order():
     assert [raw[k : k + 50] for k in order] == sorted(raw[k : k + 50] for k in p)
 
 
+def test_ranking_and_dealing_take_few_steps(monkeypatch):
+    """Keys are sorted as often as their bits fill 64, not twice a column; and 100 MB of blocks make few chunks of keys."""
+    rng, dense, sorts = np.random.default_rng(6), suffix_array._dense, []
+    monkeypatch.setattr(suffix_array, "_dense", lambda a: sorts.append(len(a)) or dense(a))
+    ranks = rng.integers(1 << 27, (1 << 27) + 50, (3, 800)).astype(np.uint64)
+    wide = np.stack([rng.integers(0, 3, 800).astype(np.uint64) << np.uint64(62), ranks[0] << np.uint64(36), ranks[1] % np.uint64(2)])
+    for keys, most in ((ranks, 1), (wide, 3), (np.zeros((3, 4), np.uint64), 1), (wide[:, :0], 1)):
+        sorts.clear()
+        columns = [tuple(x) for x in keys.T.tolist()]
+        place = {x: k for k, x in enumerate(sorted(set(columns)))}
+        assert suffix_array.named(keys).tolist() == [place[x] for x in columns] and len(sorts) <= most
+    assert (100_000_000 // suffix_array.BLOCK) * (100_000_000 // suffix_array.RANGE) < 30_000
+
+
+def test_columns_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 900):
+        columns = [np.sort(rng.integers(0, 1 << 40, n)), rng.integers(-9, 9, n), np.full(n, 7), rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)]
+        got = suffix_array._split(suffix_array._joined(columns))
+        assert [x.tolist() for x in got] == [x.view(np.uint64).tolist() for x in columns]
+
+
+def test_cut_by_spans():
+    spans = [None, [], [(3, 5), (0, 2), (1, 2)], [(0, 4)], [(0, 1), (1, 3)], None]
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    cover = pa.array([x and [{"low": a, "high": b} for a, b in x] for x in spans], kind)
+    texts = pa.array(["out", None, "abcdef", "abcd", "é東", "out"])
+    got = [x.to_pylist() for x in suffix_array._cut(texts.slice(1, 4), cover.slice(1, 4))]
+    assert got == [[0, 6, 4, 5], [0, 4, 4, 3], [0, 2, 1, 1], [b"", b"cf", b"", "é東".encode()[3:]]]
+    assert [x.to_pylist() for x in suffix_array._cut(texts.slice(0, 1), cover.slice(0, 1))] == [[3], [0], [0], [b"out"]]
+
+
 def test_dealing_by_whole_keys():
     rng = np.random.default_rng(4)
     keys, splits = rng.integers(0, 3, (3, 500)).astype(np.uint64), np.unique(rng.integers(0, 3, (9, 3)), axis=0).T.astype(np.uint64)
