@@ -102,6 +102,21 @@ def test_flags_of_the_table(spark):
     assert t["MILL", "QN"] == (True, False, True) and t["LAMP", "QT"] == (False, False, True) and t["QN", "MILL"] == (True, False, False)
 
 
+def test_useful_without_all_routes_of_all_pairs(spark, monkeypatch):
+    """The same pairs as by comparing all routes, but pairs meet few of their second stop's."""
+    rng = random.Random(4)
+    routes = {f"s{k}": set(rng.sample(range(60), rng.choice((1, 20, 30)))) for k in range(24)}
+    routes |= {"all": set(range(60)), "too": set(range(60)), "most": set(range(59)), "few": set(range(4)), "bare": set()}
+    rows = [(r, s) for s, rs in routes.items() for r in rs] + [(None, "few")]
+    pairs_ = list(itertools.permutations(routes, 2))
+    met = []
+    monkeypatch.setattr(tr, "stored", lambda df, real=tr.stored: met.append(real(df)) or met[-1])
+    got = tr.useful(spark.createDataFrame(pairs_ + pairs_[:9], "from_stop_id string, to_stop_id string"), spark.createDataFrame(rows * 2, "route_id int, stop_id string")).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a, b in pairs_ if b == "few" or routes[b] - routes[a]}
+    tried = [df.count() for df in met[1:]]
+    assert tried[0] <= len(pairs_) and tried[1] < len(pairs_) / 4 and tried[2] < len(pairs_) / 16
+
+
 def test_projection_and_bands(spark):
     df = spark.createDataFrame([(60.0, 10.0), (60.002, 10.004)], "stop_lat double, stop_lon double")
     (x0, y0), (x1, y1) = sorted((r.x_m, r.y_m) for r in geo.project(df).collect())
